@@ -61,6 +61,18 @@ def _split(df: DataFrame, key: str, share: float) -> tuple[DataFrame, DataFrame]
     return df.join(hot, same, "left_semi"), df.join(hot, same, "left_anti")
 
 
+def skew_join(df: DataFrame, per_key: DataFrame, key: str, share: float = 1 / 128) -> DataFrame:
+    """df inner join per_key on ``key``; per_key has at most one row a key.
+
+    Rows of hot keys meet their few per_key rows (TOP at most) by a broadcast join and stay where they are; all other rows
+    take the ordinary shuffle join. NULL keys join nothing.
+    """
+    hot = hot_candidates(df, key, share)
+    heavy, light = _split(df.where(F.col(key).isNotNull()), key, share)
+    few = per_key.join(F.broadcast(hot.withColumnRenamed("hot_key", key)), key, "left_semi")
+    return heavy.join(F.broadcast(few), key).unionByName(light.join(per_key, key))
+
+
 def skew_distinct_count(df: DataFrame, key: str, member: str, out: str, share: float = 1 / 128) -> DataFrame:
     """(key, out): distinct non-null members of each non-null key.
 

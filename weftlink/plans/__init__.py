@@ -1 +1 @@
-"""Part of the weftlink engine: plans."""
+"""Queries over the test tables, and their SQL."""
