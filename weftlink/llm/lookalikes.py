@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlink.functions.hygiene import ship
+
 #: Letters of different scripts (Latin, Cyrillic, Greek, Armenian) that look the same, one class a word. Fixed values.
 CLASSES = (
     "aаɑ cс dԁ eе gɡ hһ iі jј lӏ oоοօ pр qԛ sѕ vνѵ wԝ xх yу "
@@ -136,6 +138,7 @@ def consistent_forms(items: DataFrame) -> DataFrame:
     NULL texts have a NULL form; empty texts and texts of invisible characters have an empty one. Repeated rows come out
     repeated; an empty table gives an empty result. The letter-pair scores come from all rows.
     """
+    ship(items.sparkSession)
     rows = items.select("kind", "key", "text")
     pairs = pair_counts(rows.where(F.col("text").isNotNull()), "text")
     return rows.mapInPandas(_mapper(pairs, ["kind", "key", "text"]), "kind string, key string, form string")

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlink.functions.hygiene import ship
+
 #: Lines summed in a block; block length at which text surges. Parameters of the distribution.
 WINDOW, SURGE = 3, 60
 
@@ -242,6 +244,7 @@ def clean_lines(pages: DataFrame, key: str = "page_id", lines: str = "lines") ->
     kept: the line lies in running text by the line-block distribution. Pages delivered again count once (any non-null
     lines win); pages with a NULL key, or with null or empty lines, give no rows. Other columns are ignored.
     """
+    ship(pages.sparkSession)
     once = (
         pages.select(F.col(key).alias("k"), F.col(lines).alias("l"))
         .where(F.col("k").isNotNull() & (F.size("l") > 0))

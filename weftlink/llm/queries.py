@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlink.functions.hygiene import table
+from weftlink.llm.byte_bpe import encode_texts
 from weftlink.llm.distinctive import characteristic_pairs, term_scores
 from weftlink.llm.lookalikes import consistent_forms, same_looking_pairs
 from weftlink.llm.markup import clean_lines
+from weftlink.llm.mixing import count_tokens, mixture, share_report
 from weftlink.llm.spam_pages import page_shares, spam_pages
 from weftlink.llm.term_counts import word_table
+from weftlink.llm.vector_search import VectorIndex
 
 
 def p2_found(spark: SparkSession, data: str) -> DataFrame:
@@ -67,6 +70,45 @@ def p5_forms(spark: SparkSession, data: str) -> DataFrame:
     return consistent_forms(_named(spark, data))
 
 
+def _vectors(spark: SparkSession, data: str) -> dict[str, DataFrame]:
+    return {
+        "doc": table(spark, data, "doc_embedding").select(F.col("doc_id").cast("string").alias("key"), "vec"),
+        "word": table(spark, data, "word_embedding").select(F.col("word").alias("key"), "vec"),
+    }
+
+
+def p7_found(spark: SparkSession, data: str) -> DataFrame:
+    """Pairs of document and of word vectors with a cosine similarity of at least 0.95."""
+    kinds = [
+        VectorIndex(rows).similar_keys(0.95).select(F.lit(kind).alias("kind"), "key_a", "key_b")
+        for kind, rows in _vectors(spark, data).items()
+    ]
+    return kinds[0].unionByName(kinds[1])
+
+
+def p7_neighbours(spark: SparkSession, data: str) -> DataFrame:
+    """The ten most similar documents of every document whose id is divisible by 50, among all documents."""
+    rows = _vectors(spark, data)["doc"]
+    return VectorIndex(rows).neighbours(rows.where(F.col("key").cast("long") % 50 == 0), 10)
+
+
+def p8_ids(spark: SparkSession, data: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_texts(table(spark, data, "documents"))
+
+
+def p9_mixture(spark: SparkSession, data: str) -> DataFrame:
+    """How often each document stands in the mixture."""
+    targets = table(spark, data, "mix_target")
+    return mixture(count_tokens(table(spark, data, "documents"), targets), targets)
+
+
+def p9_shares(spark: SparkSession, data: str) -> DataFrame:
+    """Target and actual share of every source."""
+    targets = table(spark, data, "mix_target")
+    return share_report(count_tokens(table(spark, data, "documents"), targets), targets)
+
+
 def p10_found(spark: SparkSession, data: str) -> DataFrame:
     """Documents that are mostly key phrases, links, menus or tags."""
     return spam_pages(table(spark, data, "documents"))
@@ -81,7 +123,8 @@ def p10_shares(spark: SparkSession, data: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_word_counts, p3_found, p3_scores, p4_found, p4_clean_lines, p5_found, p5_forms, p10_found, p10_shares,
+        p2_found, p2_word_counts, p3_found, p3_scores, p4_found, p4_clean_lines, p5_found, p5_forms, p7_found,
+        p7_neighbours, p8_ids, p9_mixture, p9_shares, p10_found, p10_shares,
     )
 }
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlink.functions.hygiene import ship
+
 #: Records a chunk is meant to hold; the bound of a record set in memory.
 CHUNK_RECORDS = 20_000
 
@@ -78,6 +80,7 @@ def ngram_counts(records: DataFrame, key: str, terms: str, weight: str | None =
     a column by which each occurrence counts (NULL as 0); 1 without it. NULL terms break a sequence. Rows with a NULL key
     or NULL or empty terms give nothing; repeated rows count again; other columns are ignored.
     """
+    ship(records.sparkSession)
     w = F.coalesce(F.col(weight), F.lit(0)).cast("long") if weight else F.lit(1).cast("long")
     rows = records.select(F.col(key).alias("rec"), F.col(terms).alias("seq"), w.alias("f")).where(
         F.col("rec").isNotNull() & (F.size("seq") > 0)
