@@ -158,3 +158,9 @@ def same_looking_pairs(items: DataFrame) -> DataFrame:
     a = grouped.select("kind", "form", F.col("key").alias("key_a"))
     b = grouped.select("kind", "form", F.col("key").alias("key_b"))
     return a.join(b, ["kind", "form"]).where(F.col("key_a") < F.col("key_b")).select("kind", "key_a", "key_b").distinct()
+
+
+def skeleton(text: str) -> str:
+    """The visible text with every look-alike letter replaced by the first of its class: equal for texts that look the
+    same, and in Latin letters where there are any."""
+    return "".join(CLASS_OF[c][0] if c in CLASS_OF else c for c in visible(text))

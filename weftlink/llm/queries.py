@@ -11,11 +11,35 @@ from weftlink.llm.distinctive import characteristic_pairs, term_scores
 from weftlink.llm.lookalikes import consistent_forms, same_looking_pairs
 from weftlink.llm.markup import clean_lines
 from weftlink.llm.mixing import count_tokens, mixture, share_report
+from weftlink.llm.name_variants import link_variants
 from weftlink.llm.spam_pages import page_shares, spam_pages
 from weftlink.llm.term_counts import word_table
 from weftlink.llm.vector_search import VectorIndex
 
 
+def _linked(spark: SparkSession, data: str) -> DataFrame:
+    """Typed names without any entity, linked to the entity they are a variant of."""
+    typed = (
+        table(spark, data, "mention_count")
+        .where("sf is not null")
+        .groupBy("sf")
+        .agg(F.count("entity_id").alias("resolved"))
+        .where("resolved = 0")
+        .select(F.col("sf").alias("name"))
+    )
+    return link_variants(typed, table(spark, data, "entity").select("entity_id", "name"), table(spark, data, "name_alias"))
+
+
+def p1_found(spark: SparkSession, data: str) -> DataFrame:
+    """Typed names that are variants, with their entity."""
+    return _linked(spark, data).select(F.col("name").alias("sf"), "entity_id")
+
+
+def p1_scores(spark: SparkSession, data: str) -> DataFrame:
+    """The same with the score of the link."""
+    return _linked(spark, data).select(F.col("name").alias("sf"), "entity_id", F.round("score", 4).alias("score"))
+
+
 def p2_found(spark: SparkSession, data: str) -> DataFrame:
     """Rare and common words of doc_token."""
     return word_table(table(spark, data, "doc_token")).where("mark <> ''").select("word", "mark")
@@ -123,7 +147,7 @@ def p10_shares(spark: SparkSession, data: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_word_counts, p3_found, p3_scores, p4_found, p4_clean_lines, p5_found, p5_forms, p7_found,
+        p1_found, p1_scores, p2_found, p2_word_counts, p3_found, p3_scores, p4_found, p4_clean_lines, p5_found, p5_forms, p7_found,
         p7_neighbours, p8_ids, p9_mixture, p9_shares, p10_found, p10_shares,
     )
 }
