@@ -1,12 +1,299 @@
-"""Queries of the core operators over whole tables, and the SQL they are checked with."""
+"""Queries of the core operators over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.functions.hygiene import table
+from weftlink.config import Params
+from weftlink.functions.hygiene import cut, table
+from weftlink.functions.text import is_disambiguation, is_entity_title, stripped_of_tags, words
+from weftlink.functions.tokenizer import MAX_TOKEN, curated, tokenize_column
+from weftlink.operators import candidates as C
+from weftlink.operators import graph as G
+from weftlink.operators import kb as K
+from weftlink.operators import links as L
+from weftlink.operators import mentions as M
+from weftlink.operators import ranking as R
 from weftlink.operators.hot_keys import hot_keys, skew_distinct_count, skew_sum
+from weftlink.operators.sif import document_embedding, total_frequency, weighted_words
+from weftlink.plans import pipeline
+from weftlink.sources.texts import labelled_mentions
+
+P = Params()
+ROUNDS = 8
+
+
+def _t(spark: SparkSession, data: str, *names: str) -> list[DataFrame]:
+    return [table(spark, data, n) for n in names]
+
+
+def knowledge_base(spark: SparkSession, data: str) -> K.KnowledgeBase:
+    """The knowledge base of the stored tables."""
+    return K.from_tables(*_t(spark, data, "entity", "mention_count", "link", "doc_token", "doc_embedding", "word_embedding"), p=P)
+
+
+def entity_table(spark: SparkSession, data: str) -> DataFrame:
+    return K.entity_table(table(spark, data, "entity"))
+
+
+def entity_duplicates(spark: SparkSession, data: str) -> DataFrame:
+    """Lower-case names that several entities share, and ids with several names."""
+    entity = table(spark, data, "entity")
+    by_id = K.duplicate_keys(entity, "entity_id", "name").select(F.col("entity_id").cast("string").alias("key"), "versions")
+    lower = entity.select(F.lower("name").alias("key"), "entity_id")
+    return by_id.unionByName(K.duplicate_keys(lower, "key", "entity_id"))
+
+
+def mention_dictionary(spark: SparkSession, data: str) -> DataFrame:
+    return K.mention_dictionary(table(spark, data, "mention_count"))
+
+
+def incremental_dictionary(spark: SparkSession, data: str) -> DataFrame:
+    """The dictionary merged from the increments of the first directory and of all others: equal to one pass."""
+    rows = table(spark, data, "mention_count")
+    first = F.coalesce(F.col("src_dir") == "AA", F.lit(False))
+    return K.mention_dictionary(K.mention_dictionary(rows.where(first)), K.mention_dictionary(rows.where(~first)))
+
+
+def title_mentions(spark: SparkSession, data: str) -> DataFrame:
+    return K.title_mentions(K.entity_table(table(spark, data, "entity")))
+
+
+def inlink_edges(spark: SparkSession, data: str) -> DataFrame:
+    return K.link_set(table(spark, data, "link"))
+
+
+def inlink_counts(spark: SparkSession, data: str) -> DataFrame:
+    return K.inlink_counts(K.link_set(table(spark, data, "link")))
+
+
+def inlink_arrays(spark: SparkSession, data: str) -> DataFrame:
+    """The nested view of the inlink sets of entities that are not hot (those hold their sets as rows only)."""
+    link = table(spark, data, "link")
+    hot = hot_keys(link, "to_id").select("to_id")
+    rows = K.link_set(link.join(F.broadcast(hot), "to_id", "left_anti"))
+    return rows.groupBy("to_id").agg(F.array_join(F.array_sort(F.collect_set("from_id")), ",").alias("from_ids"))
+
+
+def word_freq(spark: SparkSession, data: str) -> DataFrame:
+    return knowledge_base(spark, data).word_freq
+
+
+def total_word_count(spark: SparkSession, data: str) -> DataFrame:
+    return total_frequency(knowledge_base(spark, data).word_freq)
+
+
+def sif_word_weight(spark: SparkSession, data: str) -> DataFrame:
+    kb = knowledge_base(spark, data)
+    return weighted_words(kb.word_vec, kb.word_freq, P).select("word", F.round("weight", 6).alias("weight"))
+
+
+def _long(vectors: DataFrame) -> DataFrame:
+    rows = vectors.select("doc_id", F.posexplode("vec").alias("dim", "x"))
+    return rows.select("doc_id", "dim", (F.round("x", 4) + F.lit(0.0)).alias("x"))
+
+
+def sif_doc_embedding(spark: SparkSession, data: str) -> DataFrame:
+    kb = knowledge_base(spark, data)
+    return _long(document_embedding(kb.doc_token, kb.word_vec, kb.word_freq, P))
+
+
+def doc_embedding_complete(spark: SparkSession, data: str) -> DataFrame:
+    """Stored embeddings, and computed ones where none is stored."""
+    return _long(knowledge_base(spark, data).doc_embedding)
+
+
+def page_links(spark: SparkSession, data: str) -> DataFrame:
+    return L.page_links(table(spark, data, "wiki_page")).select("page_id", "href", "anchor")
+
+
+def _wiki_links(spark: SparkSession, data: str) -> DataFrame:
+    return L.wiki_links(table(spark, data, "wiki_page"), K.entity_table(table(spark, data, "entity")), P)
+
+
+def resolve_links(spark: SparkSession, data: str) -> DataFrame:
+    return _wiki_links(spark, data)
+
+
+def mention_sources(spark: SparkSession, data: str) -> DataFrame:
+    """The dictionary from scratch: entity names and links of pages."""
+    entity = K.entity_table(table(spark, data, "entity"))
+    return K.mention_dictionary(K.title_mentions(entity), L.mentions_of_links(_wiki_links(spark, data)))
+
+
+def link_sources(spark: SparkSession, data: str) -> DataFrame:
+    """The link set from scratch."""
+    return L.edges_of_links(_wiki_links(spark, data))
+
+
+def disambiguation_filter(spark: SparkSession, data: str) -> DataFrame:
+    """Titles of pages and entities with what the two title filters say of them; some titles of either kind are added."""
+    titles = table(spark, data, "wiki_page").select("title").unionByName(table(spark, data, "entity").select(F.col("name").alias("title")))
+    extra = [("Mercury (disambiguation)",), ("List of rivers",), ("lists  of X",), ("Template:Box",), ("Category:Y",), ("File:z.png",), ("Wikipedia:About",), ("Listening",)]
+    rows = titles.unionByName(spark.createDataFrame(extra, "title string")).where("title is not null").distinct()
+    t = F.col("title")
+    return rows.select("title", is_disambiguation(t).alias("disambiguation"), is_entity_title(t).alias("entity_title"))
+
+
+def _page_lines(spark: SparkSession, data: str) -> DataFrame:
+    once = table(spark, data, "wiki_page").where("page_id is not null and lines is not null").groupBy("page_id").agg(F.first("lines").alias("lines"))
+    lines = once.select("page_id", F.posexplode("lines").alias("line_no", "line")).where("line is not null")
+    return lines.select("page_id", "line_no", stripped_of_tags(F.col("line")).alias("text")).where("text <> ''")
+
+
+def page_text(spark: SparkSession, data: str) -> DataFrame:
+    """Text of every line without tags."""
+    return _page_lines(spark, data)
+
+
+def doc_token_freq(spark: SparkSession, data: str) -> DataFrame:
+    """Term frequencies of the pages by white-space words."""
+    tokens = _page_lines(spark, data).select("page_id", F.explode(curated(words(F.lower("text")))).alias("word"))
+    return tokens.groupBy("page_id", "word").agg(F.count("*").alias("f"))
+
+
+def doc_token_freq_conll(spark: SparkSession, data: str) -> DataFrame:
+    """Term frequencies of the pages by the full tokenizer."""
+    lines = _page_lines(spark, data).select("page_id", F.lower("text").alias("text"))
+    tokens = tokenize_column(lines, "page_id", "text").select("page_id", F.explode("tokens").alias("word"))
+    return tokens.groupBy("page_id", "word").agg(F.count("*").alias("f"))
+
+
+def token_length_filter(spark: SparkSession, data: str) -> DataFrame:
+    """Words of the documents that curation drops: too long, or a URL."""
+    tokens = table(spark, data, "documents").where("text is not null").select("doc_id", F.explode(words(F.lower("text"))).alias("word"))
+    dropped = tokens.where((F.length("word") > MAX_TOKEN) | (F.size(curated(F.array("word"))) == 0))
+    return dropped.groupBy("doc_id", "word").agg(F.count("*").alias("f"))
+
+
+def _parsed(spark: SparkSession, data: str) -> DataFrame:
+    return M.mention_documents(table(spark, data, "documents"), tokenizer="simple")
+
+
+def mention_markup(spark: SparkSession, data: str) -> DataFrame:
+    return M.occurrences(_parsed(spark, data))
+
+
+def context_window(spark: SparkSession, data: str) -> DataFrame:
+    return M.context_words(_parsed(spark, data), P)
+
+
+def candidates_prior(spark: SparkSession, data: str) -> DataFrame:
+    return C.prior_table(knowledge_base(spark, data), P).select("sf", "entity_id", "n", F.round("prior", 6).alias("prior"))
+
+
+def _candidates(spark: SparkSession, data: str, kb: K.KnowledgeBase) -> tuple[DataFrame, DataFrame]:
+    parsed = cut(_parsed(spark, data))
+    return parsed, C.document_candidates(M.occurrences(parsed), C.prior_table(kb, P))
+
+
+def nil_mentions(spark: SparkSession, data: str) -> DataFrame:
+    parsed, candidates = _candidates(spark, data, knowledge_base(spark, data))
+    return C.nil_mentions(M.occurrences(parsed), candidates)
+
+
+def _scored(spark: SparkSession, data: str, kb: K.KnowledgeBase) -> DataFrame:
+    parsed, candidates = _candidates(spark, data, kb)
+    return C.context_similarity(candidates, M.context_vectors(parsed, kb, P), kb.doc_embedding)
+
+
+def context_similarity(spark: SparkSession, data: str) -> DataFrame:
+    """Similarities without removal of the common component."""
+    scored = _scored(spark, data, knowledge_base(spark, data))
+    return scored.select("doc_id", "sf", "entity_id", F.round("ctx_sim", 4).alias("ctx_sim"))
+
+
+def common_component(spark: SparkSession, data: str) -> DataFrame:
+    """Similarities after removal of the common component of each document."""
+    kb = knowledge_base(spark, data)
+    parsed, candidates = _candidates(spark, data, kb)
+    scored = C.projected_similarity(candidates, M.context_vectors(parsed, kb, P), kb.doc_embedding)
+    return scored.select("doc_id", "sf", "entity_id", F.round("ctx_sim", 4).alias("ctx_sim"))
+
+
+def topk_candidates(spark: SparkSession, data: str) -> DataFrame:
+    """The three best candidates of each mention."""
+    top = C.keep_top(_scored(spark, data, knowledge_base(spark, data)).withColumn("ctx_sim", F.round("ctx_sim", 6)), 3)
+    return top.select("doc_id", "sf", "entity_id", F.round("ctx_sim", 4).alias("ctx_sim"))
+
+
+def _nodes(spark: SparkSession, data: str, kb: K.KnowledgeBase) -> DataFrame:
+    return cut(R.initial_scores(C.keep_top(_scored(spark, data, kb), P.keep_top), P))
+
+
+def initial_score(spark: SparkSession, data: str) -> DataFrame:
+    nodes = _nodes(spark, data, knowledge_base(spark, data))
+    return nodes.select("doc_id", "sf", "entity_id", F.round("raw", 4).alias("raw"), F.round("isa", 6).alias("isa"))
+
+
+def initial_choice(spark: SparkSession, data: str) -> DataFrame:
+    nodes = _nodes(spark, data, knowledge_base(spark, data))
+    return R.best_by(nodes.withColumn("raw", F.round("raw", 9)), "raw")
+
+
+def _graph(spark: SparkSession, data: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    kb = knowledge_base(spark, data)
+    nodes = _nodes(spark, data, kb)
+    pairs = cut(G.node_pairs(nodes))
+    related = G.topical_relatedness(pairs, kb.link, kb.entity.agg(F.count("*").alias("wp")))
+    return nodes, pairs, related, G.propagation_edges(pairs, related)
+
+
+def topical_relatedness(spark: SparkSession, data: str) -> DataFrame:
+    return _graph(spark, data)[2].select("a", "b", F.round("tr", 6).alias("tr"))
+
+
+def propagation_matrix(spark: SparkSession, data: str) -> DataFrame:
+    return _graph(spark, data)[3].withColumn("w", F.round("w", 6))
+
+
+def pagerank_fixed_k(spark: SparkSession, data: str) -> DataFrame:
+    nodes, _, _, edges = _graph(spark, data)
+    ranked = G.page_rank_rounds(nodes, edges, ROUNDS, P)
+    return ranked.select("doc_id", "sf", "entity_id", F.round("pa", 6).alias("pa"))
+
+
+def pagerank_converged(spark: SparkSession, data: str) -> DataFrame:
+    nodes, _, _, edges = _graph(spark, data)
+    return G.page_rank(nodes, edges, P).select("doc_id", "sf", "entity_id", F.round("pa", 6).alias("pa"))
+
+
+def rerank(spark: SparkSession, data: str) -> DataFrame:
+    """Re-ranking of the scores after a fixed number of rounds."""
+    nodes, _, _, edges = _graph(spark, data)
+    ranked = G.page_rank_rounds(nodes, edges, ROUNDS, P)
+    return R.rerank(ranked.withColumns({"isa": F.round("isa", 9), "pa": F.round("pa", 9)}))
+
+
+def evaluate_accuracy(spark: SparkSession, data: str) -> DataFrame:
+    """Links of the pages as labelled mentions, against the most likely entity of each form by its prior."""
+    links = _wiki_links(spark, data).where("not from_disambiguation")
+    gold = links.groupBy(F.col("page_id").alias("doc_id"), "sf").agg(F.max("entity_id").alias("entity_id"))
+    priors = C.prior_table(knowledge_base(spark, data), P)
+    best = priors.groupBy("sf").agg(F.min_by("entity_id", F.struct(-F.col("n"), "entity_id")).alias("entity_id"))
+    chosen = gold.select("doc_id", "sf").join(best, "sf")
+    return pipeline.accuracy(gold, chosen)
+
+
+def conll_mentions(spark: SparkSession, data: str) -> DataFrame:
+    """Gaps and islands of labelled rows: an order is a document, a line a token, its flag the mark."""
+    rows = table(spark, data, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).alias("line_no"), "l_returnflag", "l_partkey", "l_suppkey"
+    )
+    starts = F.col("l_returnflag") == "R"
+    tokens = rows.select(
+        "doc_id", "line_no",
+        F.when(starts, "B").when(F.col("l_returnflag") == "A", "I").alias("mark"),
+        F.when(starts, F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("sf"),
+        F.when(starts, F.col("l_partkey")).alias("gold"),
+    )
+    return labelled_mentions(tokens)
+
+
+def disambiguate(spark: SparkSession, data: str) -> DataFrame:
+    """All documents, end to end, with the full tokenizer."""
+    return pipeline.disambiguate(table(spark, data, "documents"), knowledge_base(spark, data), P)
 
 
 def p6_found(spark: SparkSession, data: str) -> DataFrame:
@@ -29,14 +316,15 @@ def p6_candidate_counts(spark: SparkSession, data: str) -> DataFrame:
     return skew_sum(table(spark, data, "mention_count"), "sf", "entity_id", "n", "n")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_inlink_sizes, p6_candidate_counts)}
-
-ORACLE = {
-    "p6_found": """SELECT 'link' AS kind, CAST(to_id AS VARCHAR) AS key FROM link WHERE to_id IS NOT NULL GROUP BY to_id
-  HAVING count(*) > 0.02 * (SELECT count(*) FROM link)
-UNION ALL SELECT 'mention_count', sf FROM mention_count WHERE sf IS NOT NULL GROUP BY sf
-  HAVING count(*) > 0.02 * (SELECT count(*) FROM mention_count)""",
-    "p6_inlink_sizes": "SELECT to_id, count(DISTINCT from_id) AS inlinks FROM link WHERE to_id IS NOT NULL GROUP BY to_id",
-    "p6_candidate_counts": """SELECT sf, entity_id, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n FROM mention_count
-  WHERE sf IS NOT NULL AND entity_id IS NOT NULL GROUP BY sf, entity_id""",
-}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        entity_table, entity_duplicates, mention_dictionary, incremental_dictionary, title_mentions, inlink_edges, inlink_counts,
+        inlink_arrays, word_freq, total_word_count, sif_word_weight, sif_doc_embedding, doc_embedding_complete, page_links,
+        resolve_links, mention_sources, link_sources, disambiguation_filter, page_text, doc_token_freq, doc_token_freq_conll,
+        token_length_filter, mention_markup, context_window, candidates_prior, nil_mentions, context_similarity,
+        common_component, topk_candidates, initial_score, initial_choice, topical_relatedness, propagation_matrix,
+        pagerank_fixed_k, pagerank_converged, rerank, evaluate_accuracy, conll_mentions, disambiguate, p6_found,
+        p6_inlink_sizes, p6_candidate_counts,
+    )
+}
