@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 from weftlink.config import Params
 from weftlink.functions.hygiene import ship
 from weftlink.functions.vectors import unit_cosine
-from weftlink.operators.hot_keys import skew_join
 from weftlink.operators.kb import KnowledgeBase, inlink_counts
 
 
@@ -20,16 +19,16 @@ def candidate_priors(mention: DataFrame, link: DataFrame, doc_embedding: DataFra
 
     Forms with more than ``many_candidates`` entities lose those counted ``rare_count`` times or less. A candidate needs a
     name, an inlink and a non-zero embedding. The prior is its share of the counts of what is left. Both per-form numbers
-    come back by a join that broadcasts hot forms: no task holds all candidates of a form.
+    come back by a join on the form, which adaptive execution splits where a form is hot: no task holds all its candidates.
     """
     p = p or Params()
     sizes = mention.groupBy("sf").agg(F.count("*").alias("k"))
-    kept = skew_join(mention, sizes, "sf").where((F.col("k") <= p.many_candidates) | (F.col("n") > p.rare_count)).drop("k")
+    kept = mention.join(sizes, "sf").where((F.col("k") <= p.many_candidates) | (F.col("n") > p.rare_count)).drop("k")
     valid = entity.select("entity_id").join(doc_embedding.select(F.col("doc_id").alias("entity_id")), "entity_id", "left_semi")
     valid = valid.join(link.select(F.col("to_id").alias("entity_id")), "entity_id", "left_semi")
     kept = kept.join(valid, "entity_id", "left_semi")
     sums = kept.groupBy("sf").agg(F.sum("n").alias("all_n"))
-    return skew_join(kept, sums, "sf").select("sf", "entity_id", "n", (F.col("n") / F.col("all_n")).alias("prior"))
+    return kept.join(sums, "sf").select("sf", "entity_id", "n", (F.col("n") / F.col("all_n")).alias("prior"))
 
 
 def prior_table(kb: KnowledgeBase, p: Params | None = None) -> DataFrame:
@@ -52,7 +51,7 @@ def context_similarity(candidates: DataFrame, contexts: DataFrame, embedding: Da
     vector vanish; zero vectors after projection give 0.5."""
     entity = embedding.select(F.col("doc_id").alias("entity_id"), F.col("vec").alias("entity_vec"))
     rows = candidates.join(contexts.select("doc_id", "sf", F.col("vec").alias("context_vec")), ["doc_id", "sf"])
-    rows = skew_join(rows, entity, "entity_id")
+    rows = rows.join(entity, "entity_id")
     return rows.withColumn("ctx_sim", unit_cosine(F.col("context_vec"), F.col("entity_vec"))).drop("context_vec", "entity_vec")
 
 
@@ -71,7 +70,7 @@ def projected_similarity(candidates: DataFrame, contexts: DataFrame, embedding:
     ship(candidates.sparkSession)
     entity = embedding.select(F.col("doc_id").alias("entity_id"), F.col("vec").alias("entity_vec"))
     rows = candidates.join(contexts.select("doc_id", "sf", F.col("vec").alias("context_vec")), ["doc_id", "sf"])
-    rows = skew_join(rows, entity, "entity_id")
+    rows = rows.join(entity, "entity_id")
     doc = rows.schema["doc_id"].dataType.simpleString()
 
     def project(group: pd.DataFrame) -> pd.DataFrame:

@@ -2,29 +2,57 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.config import Params
+from weftlink.functions.hygiene import cut
 from weftlink.functions.vectors import nonzero, usable
-from weftlink.operators.hot_keys import skew_join
 from weftlink.operators.sif import document_embedding, word_statistics
 
 
-@dataclass(frozen=True)
 class KnowledgeBase:
-    """entity(entity_id, name, name_lower); word_vec(word, vec); word_freq(word, f); doc_token(doc_id, word, f);
-    doc_embedding(doc_id, vec); mention(sf, entity_id, n); link(to_id, from_id), distinct."""
+    """The knowledge base of stored, dirty tables, each made on first use:
 
-    entity: DataFrame
-    word_vec: DataFrame
-    word_freq: DataFrame
-    doc_token: DataFrame
-    doc_embedding: DataFrame
-    mention: DataFrame
-    link: DataFrame
+    entity(entity_id, name, name_lower); word_vec(word, vec); word_freq(word, f); doc_token(doc_id, word, f);
+    doc_embedding(doc_id, vec); mention(sf, entity_id, n); link(to_id, from_id), distinct. Word frequencies and document
+    embeddings are aggregates that many steps read: they are cut from their lineage.
+    """
+
+    def __init__(self, entity: DataFrame, mention_count: DataFrame, link: DataFrame, doc_token: DataFrame, doc_embedding: DataFrame, word_embedding: DataFrame, params: Params | None = None) -> None:
+        self.params = params or Params()
+        self._raw = (entity, mention_count, link, doc_token, doc_embedding, word_embedding)
+
+    @cached_property
+    def entity(self) -> DataFrame:
+        return entity_table(self._raw[0])
+
+    @cached_property
+    def mention(self) -> DataFrame:
+        return mention_dictionary(self._raw[1])
+
+    @cached_property
+    def link(self) -> DataFrame:
+        return link_set(self._raw[2])
+
+    @cached_property
+    def doc_token(self) -> DataFrame:
+        return document_tokens(self._raw[3])
+
+    @cached_property
+    def word_vec(self) -> DataFrame:
+        return word_vectors(self._raw[5])
+
+    @cached_property
+    def word_freq(self) -> DataFrame:
+        return cut(word_statistics(self.doc_token, self.word_vec))
+
+    @cached_property
+    def doc_embedding(self) -> DataFrame:
+        stored = stored_embeddings(self._raw[4])
+        return cut(complete_embeddings(stored, self.doc_token, self.word_vec, self.word_freq, self.params))
 
 
 def entity_table(raw: DataFrame) -> DataFrame:
@@ -105,32 +133,14 @@ def complete_embeddings(stored: DataFrame, doc_token: DataFrame, word_vec: DataF
     return stored.unionByName(made).where(nonzero(F.col("vec")))
 
 
-def from_tables(entity: DataFrame, mention_count: DataFrame, link: DataFrame, doc_token: DataFrame, doc_embedding: DataFrame, word_embedding: DataFrame, p: Params | None = None) -> KnowledgeBase:
-    """The knowledge base of stored, dirty tables."""
-    p = p or Params()
-    vectors = word_vectors(word_embedding)
-    tokens = document_tokens(doc_token)
-    freq = word_statistics(tokens, vectors)
-    stored = stored_embeddings(doc_embedding)
-    return KnowledgeBase(
-        entity=entity_table(entity),
-        word_vec=vectors,
-        word_freq=freq,
-        doc_token=tokens,
-        doc_embedding=complete_embeddings(stored, tokens, vectors, freq, p),
-        mention=mention_dictionary(mention_count),
-        link=link_set(link),
-    )
-
-
 def resolve(targets: DataFrame, entity: DataFrame) -> DataFrame:
     """targets (…, target) with the entity each means: the only one of that lower-case name whatever its case, else the
-    one of exactly that name, else none (the row is dropped). Hot targets are joined by broadcast."""
+    one of exactly that name, else none (the row is dropped). Adaptive execution splits hot targets."""
     lower = entity.select("entity_id", "name", "name_lower")
     k = lower.groupBy("name_lower").agg(
         F.count("*").alias("k"), F.min("entity_id").alias("only_id"), F.collect_list(F.struct("name", "entity_id")).alias("same")
     )  # names that differ in case only: a handful
-    rows = skew_join(targets.withColumn("name_lower", F.lower("target")), k, "name_lower")
+    rows = targets.withColumn("name_lower", F.lower("target")).join(k, "name_lower")
     exact = F.try_element_at(F.filter("same", lambda s: s["name"] == F.col("target")), F.lit(1))["entity_id"]
     return (
         rows.withColumn("entity_id", F.when(F.col("k") == 1, F.col("only_id")).otherwise(exact))

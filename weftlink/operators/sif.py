@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.config import Params
-from weftlink.operators.hot_keys import skew_join
 
 
 def word_statistics(doc_token: DataFrame, word_vec: DataFrame) -> DataFrame:
@@ -39,9 +38,10 @@ def embed(rows: DataFrame, keys: list[str], words: DataFrame, dim: int = 64) ->
     such a word, or whose frequencies sum to 0, give no row.
 
     ``dim`` sums in one aggregation: the sums combine in every task before the shuffle, so a word of every document moves
-    no vector more than once a task and key, and nothing is exploded into dimensions.
+    no vector more than once a task and key, and nothing is exploded into dimensions. Adaptive execution splits the join of
+    a word that very many rows have.
     """
-    joined = skew_join(rows.select(*keys, "word", "f"), words, "word")
+    joined = rows.select(*keys, "word", "f").join(words, "word")
     sums = [F.sum(F.col("f") * F.col("weight") * F.col("vec")[i]).alias(f"s{i}") for i in range(dim)]
     total = joined.groupBy(*keys).agg(F.sum("f").alias("all_f"), *sums).where("all_f > 0")
     return total.select(*keys, F.array(*[F.col(f"s{i}") / F.col("all_f") for i in range(dim)]).alias("vec"))

@@ -30,7 +30,7 @@ def _t(spark: SparkSession, data: str, *names: str) -> list[DataFrame]:
 
 def knowledge_base(spark: SparkSession, data: str) -> K.KnowledgeBase:
     """The knowledge base of the stored tables."""
-    return K.from_tables(*_t(spark, data, "entity", "mention_count", "link", "doc_token", "doc_embedding", "word_embedding"), p=P)
+    return K.KnowledgeBase(*_t(spark, data, "entity", "mention_count", "link", "doc_token", "doc_embedding", "word_embedding"), P)
 
 
 def entity_table(spark: SparkSession, data: str) -> DataFrame:
