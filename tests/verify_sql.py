@@ -65,7 +65,8 @@ def main(data: str, prefixes: list[str]) -> int:
         print(f"{name:28} rows {len(ours):8} {took:6.1f} s   {'same' if same else 'DIFFERENT'} (SQL {time.time() - began:.1f} s)")
         if not same:
             print("   ", sorted(ours.columns), sorted(theirs.columns), len(a), len(b))
-            print("    only ours", [x for x in a if x not in set(b)][:3], "only SQL", [x for x in b if x not in set(a)][:3])
+            mine, other = set(a), set(b)
+            print("    only ours", [x for x in a if x not in other][:3], "only SQL", [x for x in b if x not in mine][:3])
     return bad
 
 

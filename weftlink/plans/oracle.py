@@ -184,9 +184,9 @@ ORACLE = {
     "evaluate_accuracy": _sql("""SELECT count(*) AS documents, CAST(coalesce(sum(total), 0) AS BIGINT) AS total, CAST(coalesce(sum(correct), 0) AS BIGINT) AS correct,
       CAST(coalesce(sum(nil), 0) AS BIGINT) AS nil FROM (SELECT g.doc_id, count(*) AS total, count(*) FILTER (WHERE bp.chosen = g.entity_id) AS correct,
       count(*) FILTER (WHERE bp.chosen IS NULL) AS nil FROM gold g LEFT JOIN bp ON g.sf = bp.sf GROUP BY g.doc_id) WHERE total > nil""", "gold", "bp"),
-    "conll_mentions": """WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber - 1 AS line_no, l_returnflag AS m, l_partkey, l_suppkey,
-      sum(CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
-      ROWS UNBOUNDED PRECEDING) AS island FROM lineitem)
+    "conll_mentions": """WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER w - 1 AS line_no, l_returnflag AS m, l_partkey, l_suppkey,
+      sum(CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS island FROM lineitem
+      WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice))
       SELECT doc_id, 's' || max(CASE WHEN m = 'R' THEN l_suppkey END) AS sf, CAST(min(line_no) AS INTEGER) AS "start",
       CAST(max(line_no) + 1 AS INTEGER) AS "end", max(CASE WHEN m = 'R' THEN l_partkey END) AS gold FROM r GROUP BY doc_id, island
       HAVING max(CASE WHEN m = 'R' THEN 1 ELSE 0 END) = 1""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftlink.config import Params
 from weftlink.functions.hygiene import cut, table
@@ -278,8 +279,9 @@ def evaluate_accuracy(spark: SparkSession, data: str) -> DataFrame:
 
 def conll_mentions(spark: SparkSession, data: str) -> DataFrame:
     """Gaps and islands of labelled rows: an order is a document, a line a token, its flag the mark."""
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     rows = table(spark, data, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).alias("line_no"), "l_returnflag", "l_partkey", "l_suppkey"
+        F.col("l_orderkey").alias("doc_id"), (F.row_number().over(line) - 1).alias("line_no"), "l_returnflag", "l_partkey", "l_suppkey"
     )
     starts = F.col("l_returnflag") == "R"
     tokens = rows.select(

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text): each file under a path is one document, named by its file."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
 
 
 def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,9 @@ from weftlink.functions.text import is_disambiguation, is_entity_title, trimmed,
 
 #: Head of a page in an extracted file; fixed pattern. Blanks at the end of a title stay in it.
 PAGE_HEAD = r"(?i)<doc.+?id=\"(\d+)\".+?title=\"\s*(.+)\s*\".*?>"
+#: Title and redirect of a page in a dump; fixed patterns.
+TITLE = r"(?i)<title>\s*(.+?)\s*</title>"
+REDIRECT = r"(?i)<redirect\s+title=\"\s*(.+?)\s*\"\s*/>"
 FILE_NAME = r"(?i)/wiki_\d+\.bz2$"
 
 
@@ -40,10 +43,11 @@ def read_pages(spark: SparkSession, path: str, keep_disambiguation: bool = False
 
 
 def read_redirects(spark: SparkSession, path: str) -> DataFrame:
-    """(title, target) of the redirects of a dump: the XML source splits concatenated bz2 streams at ``<page>`` and reads
-    the two columns only, so no index file is needed. Titles and targets are unescaped by the XML reader."""
-    schema = "title string, redirect struct<_title: string, _VALUE: string>"
-    pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
-    return pages.where("redirect._title is not null").select(
-        trimmed(F.col("title")).alias("title"), trimmed(F.col("redirect._title")).alias("target")
+    """(title, target) of the redirects of a dump: a page is a record, cut at its end tag inside the codec, so concatenated
+    bz2 streams need no index file. The redirect must stand before the page's text. Titles and targets are unescaped."""
+    page = spark.read.option("lineSep", "</page>").text(path).where(F.col("value").contains("<redirect"))
+    head = F.regexp_replace("value", r"(?s)\n\s*<text.*$", "")
+    rows = page.select(
+        unescaped(F.regexp_extract("value", TITLE, 1)).alias("title"), unescaped(F.regexp_extract(head, REDIRECT, 1)).alias("target")
     )
+    return rows.where("title <> '' and target <> ''")
