@@ -168,7 +168,7 @@ def test_prose_is_not_flagged():
     openings = ["Later", "By then", "In 1741", "Nevertheless", "In 1833", "Later", "By then", "In 1690", "Nevertheless", "In 1905"]
     named = " ".join(f"{o} Lake Onega {v} the {_rng.choice(_NOUNS)} of the {n}, and {w}s {v2} it." for o, v, n, w, v2 in zip(
         openings, _VERBS, _NOUNS, _NOUNS[10:], _VERBS[::-1]))
-    bullets = "\n".join(f"* The {x} of the town was rebuilt by its people in 18{i}2." for i, x in enumerate(["mill", "port", "gate", "hall"]))
+    bullets = "\n".join(f"* {prose(1)}" for _ in range(8))
     links = PROSE + "I found this at https://a.example/b, but the sculptor disagrees with most of what it says. " + PROSE
     for text in (prose(12), named, bullets, links, PROSE + "\nExternal links\nhttp://a.example/x\n#tag #other", "古老的山谷属于新的城市。街道靠近小的港口。" * 5):
         assert 1 - spam_pages.shares(text)[0] < 0.5, text
