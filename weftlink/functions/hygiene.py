@@ -7,8 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
@@ -24,7 +23,7 @@ def slots(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. The cluster names it in spark.checkpoint.dir; only where that is unset (tests, a
     single machine) a local folder stands in for it."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     return "file:///tmp/weftlink-checkpoints"
@@ -38,16 +37,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def codepoint_less(a: Column, b: Column) -> Column:
-    """a < b by code points: UTF-8 keeps that order and the default collation compares bytes."""
-    return a < b
-
-
-def finite(x: Column) -> Column:
-    """A number or NULL; never NaN or an infinity."""
-    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
-
-
 _shipped: set[str] = set()
 
 

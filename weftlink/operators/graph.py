@@ -72,14 +72,14 @@ def page_rank_rounds(nodes: DataFrame, edges: DataFrame, rounds: int, p: Params
     base = cut(nodes.select(*key, "isa"))
     edges = cut(edges)
     state = base.select(*key, F.col("isa").alias("s"))
-    whole = Window.partitionBy("doc_id")
     for i in range(1, rounds + 1):
         source = state.select("doc_id", F.col("sf").alias("src_sf"), F.col("entity_id").alias("src"), "s")
         flow = edges.join(source, ["doc_id", "src_sf", "src"]).groupBy("doc_id", "dst_sf", "dst").agg(F.sum(F.col("w") * F.col("s")).alias("inflow"))
         flow = flow.select("doc_id", F.col("dst_sf").alias("sf"), F.col("dst").alias("entity_id"), "inflow")
         s = F.lit(p.damping) * F.col("isa") + F.lit(1 - p.damping) * F.coalesce("inflow", F.lit(0.0))
-        state = base.join(flow, key, "left").withColumn("s", s)
-        state = state.select(*key, F.coalesce(F.try_divide(F.col("s"), F.sum("s").over(whole)), F.lit(0.0)).alias("s"))
+        state = base.join(flow, key, "left").select(*key, s.alias("s"))
+        total = state.groupBy("doc_id").agg(F.sum("s").alias("total"))  # combines first: a document may be the whole graph
+        state = state.join(total, "doc_id").select(*key, F.coalesce(F.try_divide("s", "total"), F.lit(0.0)).alias("s"))
         if i % every == 0 and i < rounds:
             state = cut(state)
     return base.join(state, key).select(*key, "isa", F.col("s").alias("pa"))

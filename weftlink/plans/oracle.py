@@ -112,6 +112,20 @@ _CTE |= {
     "rr4": (["rr3"], """SELECT doc_id, sf, max(CASE WHEN ps = 1 THEN entity_id END) AS es, max(CASE WHEN pm = 1 THEN entity_id END) AS em,
       max(CASE WHEN ps = 1 THEN rs END) - coalesce(max(CASE WHEN ps = 2 THEN rs END), 0) AS gs,
       max(CASE WHEN pm = 1 THEN rm END) - coalesce(max(CASE WHEN pm = 2 THEN rm END), 0) AS gm FROM rr3 GROUP BY doc_id, sf"""),
+    "lp": (["edges", "ent"], """SELECT DISTINCT least(to_id, from_id) AS a, greatest(to_id, from_id) AS b FROM edges
+      WHERE to_id <> from_id AND from_id IN (SELECT entity_id FROM ent)"""),
+    "lsh": (["lp", "edges"], """SELECT u.a, u.b, count(*) AS s FROM lp u JOIN edges x ON x.to_id = u.a JOIN edges y ON y.to_id = u.b
+      AND y.from_id = x.from_id GROUP BY u.a, u.b"""),
+    "ltr": (["lsh", "inl", "ent"], _CTE["tr"][1].replace("FROM sh s", "FROM lsh s")),
+    "lmat": (["ltr"], """SELECT src, dst, tr / sum(tr) OVER (PARTITION BY src) AS w FROM
+      (SELECT a AS src, b AS dst, tr FROM ltr WHERE tr > 0 UNION ALL SELECT b, a, tr FROM ltr WHERE tr > 0)"""),
+    "l0": (["inl", "edges"], "SELECT to_id AS entity_id, inlinks / CAST((SELECT count(*) FROM edges) AS DOUBLE) AS isa, inlinks / CAST((SELECT count(*) FROM edges) AS DOUBLE) AS s FROM inl"),
+    **{
+        f"l{i}": ([f"l{i - 1}", "lmat"], f"""SELECT entity_id, isa, u / sum(u) OVER () AS s FROM (SELECT n.entity_id, n.isa,
+      0.4 * n.isa + 0.6 * coalesce(f.inflow, 0) AS u FROM l{i - 1} n LEFT JOIN (SELECT m.dst, sum(m.w * p.s) AS inflow FROM lmat m
+      JOIN l{i - 1} p ON m.src = p.entity_id GROUP BY m.dst) f ON n.entity_id = f.dst)""")
+        for i in range(1, ROUNDS + 1)
+    },
     "gold": (["wl"], "SELECT page_id AS doc_id, sf, max(entity_id) AS entity_id FROM wl WHERE NOT from_disambiguation GROUP BY page_id, sf"),
     "bp": (["pri"], "SELECT sf, entity_id AS chosen FROM pri QUALIFY row_number() OVER (PARTITION BY sf ORDER BY n DESC, entity_id) = 1"),
 }
@@ -181,6 +195,8 @@ ORACLE = {
     "propagation_matrix": _sql("SELECT doc_id, src_sf, src, dst_sf, dst, round(w, 6) AS w FROM mat", "mat"),
     "pagerank_fixed_k": _sql(f"SELECT doc_id, sf, entity_id, round(s, 6) AS pa FROM {_LAST}", _LAST),
     "rerank": _sql("SELECT doc_id, sf, CASE WHEN gs > gm THEN es ELSE em END AS entity_id FROM rr4", "rr4"),
+    "link_relatedness": _sql("SELECT a, b, round(tr, 6) AS tr FROM ltr", "ltr"),
+    "link_pagerank": _sql(f"SELECT entity_id, round(s, 8) AS pa FROM l{ROUNDS}", f"l{ROUNDS}"),
     "evaluate_accuracy": _sql("""SELECT count(*) AS documents, CAST(coalesce(sum(total), 0) AS BIGINT) AS total, CAST(coalesce(sum(correct), 0) AS BIGINT) AS correct,
       CAST(coalesce(sum(nil), 0) AS BIGINT) AS nil FROM (SELECT g.doc_id, count(*) AS total, count(*) FILTER (WHERE bp.chosen = g.entity_id) AS correct,
       count(*) FILTER (WHERE bp.chosen IS NULL) AS nil FROM gold g LEFT JOIN bp ON g.sf = bp.sf GROUP BY g.doc_id) WHERE total > nil""", "gold", "bp"),

@@ -267,6 +267,32 @@ def rerank(spark: SparkSession, data: str) -> DataFrame:
     return R.rerank(ranked.withColumns({"isa": F.round("isa", 9), "pa": F.round("pa", 9)}))
 
 
+def _link_graph(spark: SparkSession, data: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole link table as one graph: nodes with their share of all inlinks, the pairs of linked entities, relatedness."""
+    entity, link = K.entity_table(table(spark, data, "entity")), cut(K.link_set(table(spark, data, "link")))
+    both = link.join(entity.select(F.col("entity_id").alias("from_id")), "from_id", "left_semi").where("to_id <> from_id")
+    pair = both.select(F.least("to_id", "from_id").alias("a"), F.greatest("to_id", "from_id").alias("b")).distinct()
+    pairs = cut(pair.select(F.lit(1).cast("long").alias("doc_id"), F.lit("page").alias("sf_a"), "a", F.lit("page").alias("sf_b"), "b"))
+    related = cut(G.topical_relatedness(pairs, link, entity.agg(F.count("*").alias("wp"))))
+    counts, total = K.inlink_counts(link), link.agg(F.count("*").alias("links"))
+    nodes = counts.crossJoin(F.broadcast(total)).select(  # one row
+        F.lit(1).cast("long").alias("doc_id"), F.lit("page").alias("sf"), F.col("to_id").alias("entity_id"), (F.col("inlinks") / F.col("links")).alias("isa")
+    )
+    return nodes, pairs, related
+
+
+def link_relatedness(spark: SparkSession, data: str) -> DataFrame:
+    """Relatedness of all linked entities that share an inlink."""
+    return _link_graph(spark, data)[2].select("a", "b", F.round("tr", 6).alias("tr"))
+
+
+def link_pagerank(spark: SparkSession, data: str) -> DataFrame:
+    """Inlink shares propagated over the relatedness of linked entities, the link table being one graph."""
+    nodes, pairs, related = _link_graph(spark, data)
+    ranked = G.page_rank_rounds(nodes, G.propagation_edges(pairs, related), ROUNDS, P)
+    return ranked.select("entity_id", F.round("pa", 8).alias("pa"))
+
+
 def evaluate_accuracy(spark: SparkSession, data: str) -> DataFrame:
     """Links of the pages as labelled mentions, against the most likely entity of each form by its prior."""
     links = _wiki_links(spark, data).where("not from_disambiguation")
@@ -326,7 +352,7 @@ QUERIES = {
         resolve_links, mention_sources, link_sources, disambiguation_filter, page_text, doc_token_freq, doc_token_freq_conll,
         token_length_filter, mention_markup, context_window, candidates_prior, nil_mentions, context_similarity,
         common_component, topk_candidates, initial_score, initial_choice, topical_relatedness, propagation_matrix,
-        pagerank_fixed_k, pagerank_converged, rerank, evaluate_accuracy, conll_mentions, disambiguate, p6_found,
+        pagerank_fixed_k, pagerank_converged, rerank, link_relatedness, link_pagerank, evaluate_accuracy, conll_mentions, disambiguate, p6_found,
         p6_inlink_sizes, p6_candidate_counts,
     )
 }
