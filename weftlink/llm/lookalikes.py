@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.functions.hygiene import ship
+from weftlink.functions.hygiene import cut, ship
 
 #: Letters of different scripts (Latin, Cyrillic, Greek, Armenian) that look the same, one class a word. Fixed values.
 CLASSES = (
@@ -152,7 +152,7 @@ def same_looking_pairs(items: DataFrame) -> DataFrame:
     is joined are the groups themselves; adaptive execution splits a group that fills a partition.
     """
     forms = consistent_forms(items.where(F.col("key").isNotNull() & F.col("text").isNotNull()).distinct())
-    forms = forms.where(F.col("form") != "").distinct()
+    forms = cut(forms.where(F.col("form") != "").distinct())  # read three times below: the search runs once
     several = forms.groupBy("kind", "form").agg(F.count("*").alias("keys")).where("keys > 1").select("kind", "form")
     grouped = forms.join(several, ["kind", "form"], "left_semi")
     a = grouped.select("kind", "form", F.col("key").alias("key_a"))
