@@ -6,6 +6,7 @@ from weftlink.operators import kb as K
 from weftlink.operators import links as L
 from weftlink.operators.hot_keys import hot_keys, skew_distinct_count, skew_join, skew_sum
 from weftlink.operators.sif import embed
+from weftlink.plans import queries
 
 
 def test_hot_keys_and_skew(spark):
@@ -36,6 +37,20 @@ def test_links_merge_and_self_links(spark):
     assert rows(K.inlink_counts(K.link_set(a, a))) == [(1, 2)]
 
 
+def test_hot_targets_keep_their_inlinks(spark, tmp_path):
+    data = [(1, i) for i in range(10_000)] + [(1, 5), (1, None), (None, 3)] + [(2 + i % 90, i) for i in range(180)]
+    links = spark.createDataFrame(data, "to_id long, from_id long")
+    links.write.parquet(f"{tmp_path}/link.parquet")
+    whole = {(t, f) for t, f in data if t is not None and f is not None}
+    got = rows(queries.inlink_pieces(spark, str(tmp_path)), "to_id", "piece", "from_ids")
+    pairs = [(t, int(f)) for t, _, ids in got for f in ids.split(",")]
+    assert len(pairs) == len(whole) and set(pairs) == whole
+    assert len({(t, p) for t, p, _ in got}) == len(got) and sum(t == 1 for t, *_ in got) == 3
+    small = K.inlink_pieces(K.link_set(links), 100)
+    assert small.select(F.max(F.size("from_ids"))).first()[0] < 200
+    assert K.inlink_pieces(K.link_set(links.limit(0))).count() == 0
+
+
 def _entities(spark):
     names = [(1, "ALGOL"), (2, "Algol"), (3, "B & W"), (4, "Foo"), (5, "Mercury")]
     return K.entity_table(spark.createDataFrame(names, "entity_id long, name string"))

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from weftlink.config import Params
 from weftlink.functions.hygiene import cut
 from weftlink.functions.vectors import nonzero, usable
+from weftlink.operators.hot_keys import skew_join
 from weftlink.operators.sif import document_embedding, word_statistics
 
+#: Sources that one piece of an inlink set is made for.
+PIECE_LINKS = 4096
+
 
 class KnowledgeBase:
     """The knowledge base of stored, dirty tables, each made on first use:
@@ -101,6 +105,16 @@ def inlink_counts(link: DataFrame) -> DataFrame:
     return link.groupBy("to_id").agg(F.count("*").alias("inlinks"))
 
 
+def inlink_pieces(link: DataFrame, most: int = PIECE_LINKS) -> DataFrame:
+    """(to_id, piece, from_ids) of a distinct link set: every target with its whole set, sorted, in one piece up to ``most``
+    sources and else in pieces of about ``most`` by hash of the source. Pieces of a target are disjoint, so no row grows
+    with its target. Hot targets meet their size by a broadcast join, and (target, piece) spreads them over all tasks."""
+    sized = skew_join(link, inlink_counts(link), "to_id")
+    pieces = F.ceil(F.col("inlinks") / F.lit(most))
+    placed = sized.select("to_id", "from_id", F.pmod(F.xxhash64("from_id"), pieces).alias("piece"))
+    return placed.groupBy("to_id", "piece").agg(F.array_sort(F.collect_set("from_id")).alias("from_ids"))
+
+
 def title_mentions(entity: DataFrame) -> DataFrame:
     """(sf, entity_id, n): every entity is meant once by its own lower-case name."""
     return entity.select(F.lower("name").alias("sf"), "entity_id", F.lit(1).cast("long").alias("n"))

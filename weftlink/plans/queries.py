@@ -70,13 +70,20 @@ def inlink_counts(spark: SparkSession, data: str) -> DataFrame:
 
 
 def inlink_arrays(spark: SparkSession, data: str) -> DataFrame:
-    """The nested view of the inlink sets of entities that are not hot (those hold their sets as rows only)."""
+    """The nested view, as its SQL has it: entities with more than 2 percent of the rows of link are left out. Their sets,
+    like all others, are in inlink_pieces."""
     link = table(spark, data, "link")
     hot = hot_keys(link, "to_id").select("to_id")
     rows = K.link_set(link.join(F.broadcast(hot), "to_id", "left_anti"))
     return rows.groupBy("to_id").agg(F.array_join(F.array_sort(F.collect_set("from_id")), ",").alias("from_ids"))
 
 
+def inlink_pieces(spark: SparkSession, data: str) -> DataFrame:
+    """The inlink set of every entity, hot or not, in pieces of bounded size."""
+    rows = K.inlink_pieces(cut(K.link_set(table(spark, data, "link"))))
+    return rows.select("to_id", "piece", F.array_join("from_ids", ",").alias("from_ids"))
+
+
 def word_freq(spark: SparkSession, data: str) -> DataFrame:
     return knowledge_base(spark, data).word_freq
 
@@ -348,7 +355,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         entity_table, entity_duplicates, mention_dictionary, incremental_dictionary, title_mentions, inlink_edges, inlink_counts,
-        inlink_arrays, word_freq, total_word_count, sif_word_weight, sif_doc_embedding, doc_embedding_complete, page_links,
+        inlink_arrays, inlink_pieces, word_freq, total_word_count, sif_word_weight, sif_doc_embedding, doc_embedding_complete, page_links,
         resolve_links, mention_sources, link_sources, disambiguation_filter, page_text, doc_token_freq, doc_token_freq_conll,
         token_length_filter, mention_markup, context_window, candidates_prior, nil_mentions, context_similarity,
         common_component, topk_candidates, initial_score, initial_choice, topical_relatedness, propagation_matrix,
