@@ -142,6 +142,20 @@ def test_common_suffixes_are_refined_not_lost(spark, monkeypatch):
     assert got["adam bonburgo"] == find["adam bonburgo"] and got["edgar ronbrugo"] == find["edgar ronburgo"] and got["d. konburgo"] == find["diana konburgo"]
 
 
+def test_crowded_blocks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 3)
+    given = "Robert Anthony Jonathan Joan Joel Joseph Joshua John Ronald Roger Andrew Andrea".split()
+    names = [(i, f"{g} {c}onburgo") for i, (g, c) in enumerate((g, c) for g in given for c in "bdkz")]
+    entities = spark.createDataFrame(names, "entity_id long, name string")
+    aliases = spark.createDataFrame([("robert", "bob"), ("anthony", "tony"), ("robert", "rob")], "given_name string, alias string")
+    find = {n.lower(): i for i, n in names}
+    want = {"bob bonburgo": "robert bonburgo", "tony donburgo": "anthony donburgo", "jhon zonburgo": "john zonburgo", "kobnurgo, jonathan": "jonathan konburgo"}
+    typed = spark.createDataFrame([(t,) for t in want] + [("j. bonbrugo",)], "name string")
+    got = dict(rows(N.link_variants(typed, entities, aliases), "name", "entity_id"))
+    assert {t: got.get(t) for t in want} == {t: find[n] for t, n in want.items()}
+    assert got["j. bonbrugo"] in {find[f"{g.lower()} bonburgo"] for g in given if g[0] == "J"}
+
+
 def test_ratio_against_brute_force():
     from functools import lru_cache
 
