@@ -175,6 +175,18 @@ def test_prose_is_not_flagged():
         assert 1 - spam_pages.shares(text)[0] < 0.5, text
 
 
+@pytest.mark.parametrize(("phrases", "times"), [(50, 20), (200, 20), (60, 100)])
+def test_many_key_phrases_are_flagged_at_any_length(phrases, times):
+    rng = random.Random(phrases)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    runs = [" ".join(word() for _ in range(3)) for _ in range(phrases)] * times
+    rng.shuffle(runs)
+    page = " ".join(runs)
+    assert 1 - spam_pages.shares(page)[0] > 0.9
+    assert 1 - spam_pages.shares(prose(len(page) // 80) + "\n" + page)[0] > 0.4
+    assert 1 - spam_pages.shares(prose(len(page) // 70))[0] < 0.1
+
+
 def test_spam_query(spark):
     data = [(1, PROSE), (2, SPAM["tags"]), (2, SPAM["tags"]), (3, None), (4, ""), (5, " \n "), (6, prose(6000))]
     df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 AS k", "2 AS t", "3 AS prose")
