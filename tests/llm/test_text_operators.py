@@ -187,10 +187,65 @@ def test_many_key_phrases_are_flagged_at_any_length(phrases, times):
     assert 1 - spam_pages.shares(prose(len(page) // 70))[0] < 0.1
 
 
+def test_lists_of_sentences_over_many_seeds(monkeypatch):
+    texts = []
+    for n in (6, 8, 10, 15, 20, 40):
+        for seed in range(200):
+            monkeypatch.setitem(globals(), "_rng", random.Random(1000 * seed + n))
+            texts += ["\n".join(f"* {prose(1)}" for _ in range(n)), prose(n)]
+    flagged = 1 - spam_pages.batch_shares(texts)[:, 0] > 0.5
+    assert flagged.sum() < 0.01 * len(texts)
+
+
+def test_batches_equal_single_pages():
+    rng = random.Random(3)
+    texts = [prose(rng.randint(1, 30)) for _ in range(40)] + list(SPAM.values()) + ["", " \n", "x", "\r\n\u2028a b", "😀 " * 50, "a " * 300_000]
+    rng.shuffle(texts)
+    together = spam_pages.batch_shares([None, *texts, None])
+    assert np.allclose(together[1:-1], [spam_pages.shares(t) for t in texts]) and not together[0].any()
+
+
+def test_decoding_against_every_path():
+    from itertools import product
+
+    model, rng = spam_pages.prior_model(), np.random.default_rng(2)
+    pages = [rng.integers(0, len(spam_pages.SYMBOLS), n) for n in (1, 4, 2, 5, 3)]
+    got = np.split(spam_pages.decode(np.concatenate(pages), np.array([len(p) for p in pages]), model), np.cumsum([len(p) for p in pages])[:-1])
+
+    def score(path, page):
+        steps = [np.log(model.move[a, b]) for a, b in zip(path, path[1:])]
+        return np.log(model.start[path[0]]) + sum(steps) + sum(np.log(model.emit[s, o]) for s, o in zip(path, page))
+
+    for page, states in zip(pages, got, strict=True):
+        best = max(score(p, page) for p in product(range(len(spam_pages.STATES)), repeat=len(page)))
+        assert score(states, page) == pytest.approx(best)
+
+
+def test_fit_raises_the_likelihood(monkeypatch):
+    monkeypatch.setattr(spam_pages, "PRIOR_WEIGHT", 1.0)
+    pages = [np.array([0] * 9 + [7]), np.array([1, 1, 2, 1]), np.array([6] * 12), np.array([], dtype=int)] * 5
+
+    def likelihood(m):
+        total = 0.0
+        for page in pages:
+            f = m.start
+            for k, s in enumerate(page):
+                f = (f if k == 0 else f @ m.move) * m.emit[:, s]
+            total += np.log(f.sum())
+        return total
+
+    values = [likelihood(spam_pages.fit(pages, rounds)) for rounds in (0, 1, 3, 8)]
+    assert values == sorted(values)
+    fitted = spam_pages.fit(pages)
+    for table in (fitted.start, fitted.move, fitted.emit):
+        assert np.allclose(table.sum(-1), 1)
+
+
 def test_spam_query(spark):
     data = [(1, PROSE), (2, SPAM["tags"]), (2, SPAM["tags"]), (3, None), (4, ""), (5, " \n "), (6, prose(6000))]
     df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 AS k", "2 AS t", "3 AS prose")
     assert rows(spam_pages.spam_pages(df)) == [(2,), (2,)]
+    assert spam_pages.fit_model(df.limit(0)).emit.tolist() == spam_pages.EMISSION.tolist()
     assert spam_pages.page_shares(df).count() == 7 and spam_pages.spam_pages(df.limit(0)).count() == 0
 
 
