@@ -78,8 +78,13 @@ def test_sinks(spark, tmp_path):
     assert rows(sinks.latest(spark, root)) == [("s", 1, 10)]
     sinks.merge_version(inc, root, 4, mention_dictionary)  # a version written again replaces itself
     assert rows(sinks.latest(spark, root)) == [("s", 1, 10)]
-    with pytest.raises(ValueError):
-        sinks.insert_unique(spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string"), str(tmp_path / "t"), "k", "v")
+    keyed = lambda *r: spark.createDataFrame(list(r), "k long, v string")
+    sinks.insert_unique(keyed((1, "a")), str(tmp_path / "t"), "k")
+    for bad in (keyed((2, "a"), (2, "a")), keyed((1, "b")), keyed((1, "a")), keyed((None, "x"))):
+        with pytest.raises(ValueError):
+            sinks.insert_unique(bad, str(tmp_path / "t"), "k")
+    sinks.insert_unique(keyed((2, "b")), str(tmp_path / "t"), "k")
+    assert rows(spark.read.parquet(str(tmp_path / "t"))) == [(1, "a"), (2, "b")]
     scored = spark.createDataFrame([("s", 1, 2, 0.5, None, None, 2)], "sf string, entity_id long, n long, ctx_sim double, isa double, pa double, forms long")
     entity = spark.createDataFrame([(1, "One")], "entity_id long, name string")
     sinks.write_scores(scored, entity, str(tmp_path / "csv"))
@@ -92,7 +97,7 @@ def test_sinks(spark, tmp_path):
 def test_stream(spark, tmp_path):
     entity = spark.createDataFrame([(4, "Foo", "foo")], "entity_id long, name string, name_lower string")
     pages = str(tmp_path / "pages")
-    for i in range(2):
+    for i in (0, 1, 0, 1, 1):  # pages are delivered again in later batches
         batch = spark.createDataFrame([(i, "t", ['<a href="Foo">f</a>'])], "page_id long, title string, lines array<string>")
         batch.write.mode("append").parquet(pages)
         stream_pages(spark, pages, entity, str(tmp_path / "kb")).awaitTermination(120)

@@ -19,3 +19,5 @@ class Params:
     many_candidates: int = 50  # above this the rare candidates are dropped
     rare_count: int = 4  # a candidate this rare is dropped then
     max_token: int = 128  # longest token and surface form
+    dim: int = 0  # length of usable vectors; 0: the most common length of the word vectors given
+    rounds: int = 10_000  # propagation rounds after which a document counts as not converging

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -15,18 +18,18 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
-def slots(spark: SparkSession) -> int:
-    """Shuffle partitions to aim for: the session's setting, at least one a core."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. The cluster names it in spark.checkpoint.dir; only where that is unset (tests, a
-    single machine) a local folder stands in for it."""
+    """The folder all executors share, named by the cluster in spark.checkpoint.dir. Where that is unset a local master gets
+    a folder of its own, deleted when Python ends; on any other master this raises, as no executor could read it."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
-    return "file:///tmp/weftlink-checkpoints"
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    own = tempfile.mkdtemp(prefix="weftlink-checkpoints-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,6 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_checkpoints(spark: SparkSession) -> None:
+    """Deletes what ``cut`` wrote in this application. Tables that still read it are lost."""
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder.isDefined():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _shipped: set[str] = set()
 
 

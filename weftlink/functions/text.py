@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import html
-import re
-from urllib.parse import unquote
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,16 +92,3 @@ def stripped_of_tags(line: Column) -> Column:
         return s.map(lambda x: x if x is None else (h.unescape(tag.sub("", x)) if "<" in x or "&" in x else x).strip())
 
     return strip(line)
-
-
-_TAG = re.compile(r"<!--.*?(?:-->|$)|</?[a-zA-Z][^<>]*>|<[!?][^<>]*>")
-
-
-def strip_tags(line: str) -> str:
-    """The same for one line."""
-    return (html.unescape(_TAG.sub("", line)) if "<" in line or "&" in line else line).strip()
-
-
-def decode_target(href: str) -> str:
-    """The same as ``link_target`` for one link."""
-    return html.unescape(unquote(href)).strip()

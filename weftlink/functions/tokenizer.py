@@ -19,8 +19,11 @@ from weftlink.functions.hygiene import ship
 
 #: Words that keep their full stop. Fixed values.
 ABBREVIATIONS = frozenset(
-    "apr aug av bldg dec dr calif corp feb fla inc jan jul jun lt ltd mar mr mrs ms nov oct rev sep st vol vols vs".split()
-)
+    {
+        "apr", "aug", "av", "bldg", "dec", "dr", "calif", "corp", "feb", "fla", "inc", "jan", "jul", "jun", "lt", "ltd",
+        "mar", "mr", "mrs", "ms", "nov", "oct", "rev", "sep", "st", "vol", "vols", "vs",
+    }
+)
 #: Sport and agency names that a hyphen follows in datelines. Fixed values.
 DATELINES = frozenset(
     {
@@ -31,9 +34,9 @@ DATELINES = frozenset(
 )
 #: Schemes that make a token a URL. Fixed values.
 PROTOCOLS = (
-    "bitcoin ftp ftps geo git gopher http https irc ircs magnet mailto mms news nntp redis sftp sip sips sms ssh svn tel "
-    "telnet urn worldwind xmpp"
-).split()
+    "bitcoin", "ftp", "ftps", "geo", "git", "gopher", "http", "https", "irc", "ircs", "magnet", "mailto", "mms", "news",
+    "nntp", "redis", "sftp", "sip", "sips", "sms", "ssh", "svn", "tel", "telnet", "urn", "worldwind", "xmpp",
+)
 URL_PATTERN = r"(?i)(?:" + "|".join(PROTOCOLS) + r")(?:%3a|:)/"
 MAX_TOKEN = 128
 
@@ -75,7 +78,7 @@ def _ends_sentence(m: re.Match, word: str, first: bool, last: bool) -> bool:
     return not re.match(r"^\.+$", word) and not _NUMERAL.match(word) and (last or not is_abbreviation(m.group(1)))
 
 
-#: The rules in order of priority. Pieces: group numbers, literal text, or ``break``.
+#: The rules in order of priority; fixed patterns. Pieces: group numbers, literal text, or ``break``.
 RULES = (
     _Rule(r"^([\"'()\[\]$:;,/%])(.+)$", "1 2", past=True, when=lambda m, w, f, la: not _CLITIC.match(w)),
     _Rule(r"^(.+)([?!.][\"'])$", "1 2 break"),

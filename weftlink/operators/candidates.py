@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from weftlink.config import Params
 from weftlink.functions.hygiene import ship
-from weftlink.functions.vectors import unit_cosine
+from weftlink.functions.vectors import nonzero, unit_cosine
 from weftlink.operators.kb import KnowledgeBase, inlink_counts
 
 
@@ -41,9 +41,11 @@ def document_candidates(mentions: DataFrame, priors: DataFrame) -> DataFrame:
     return mentions.select("doc_id", "sf").distinct().join(priors, "sf").select("doc_id", "sf", "entity_id", "n", "prior")
 
 
-def nil_mentions(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(doc_id, sf) without a candidate."""
-    return mentions.select("doc_id", "sf").distinct().join(candidates.select("doc_id", "sf"), ["doc_id", "sf"], "left_anti")
+def nil_mentions(mentions: DataFrame, candidates: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(doc_id, sf) without a candidate, or without a context vector that is not zero."""
+    usable = contexts.where(nonzero(F.col("vec"))).select("doc_id", "sf")
+    linked = candidates.select("doc_id", "sf").join(usable, ["doc_id", "sf"], "left_semi")
+    return mentions.select("doc_id", "sf").distinct().join(linked, ["doc_id", "sf"], "left_anti")
 
 
 def context_similarity(candidates: DataFrame, contexts: DataFrame, embedding: DataFrame) -> DataFrame:

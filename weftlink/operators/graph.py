@@ -51,7 +51,7 @@ def topical_relatedness(pairs: DataFrame, link: DataFrame, pages: DataFrame) ->
     return counted.select("a", "b", F.when(bottom > 0, 1 - top / bottom).alias("tr")).where("tr is not null")
 
 
-def propagation_edges(pairs: DataFrame, relatedness: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+def propagation_edges(pairs: DataFrame, relatedness: DataFrame) -> DataFrame:
     """(doc_id, src_sf, src, dst_sf, dst, w): both directions of every pair with positive relatedness, the weights that
     leave a node summing to 1. An entity under two forms is related to itself by 1."""
     keyed = pairs.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
@@ -66,7 +66,8 @@ def propagation_edges(pairs: DataFrame, relatedness: DataFrame, pages: DataFrame
 def page_rank_rounds(nodes: DataFrame, edges: DataFrame, rounds: int, p: Params | None = None, every: int = 4) -> DataFrame:
     """(doc_id, sf, entity_id, isa, pa) after exactly ``rounds`` rounds for all documents together; nodes: (doc_id, sf,
     entity_id, isa) with isa summing to 1 in a document. For graphs too large for one task; the state is cut from its
-    lineage every few rounds."""
+    lineage every few rounds. A document may be the whole graph: its total is added up in every task first, and a join on
+    few documents is one that Spark broadcasts or adaptive execution splits."""
     p = p or Params()
     key = ["doc_id", "sf", "entity_id"]
     base = cut(nodes.select(*key, "isa"))
@@ -98,8 +99,10 @@ def propagate(score: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray
         rounds += 1
         change = float(np.linalg.norm(nxt - s))
         s = nxt
-        if change <= p.tolerance or rounds >= 10_000:
+        if change <= p.tolerance:
             return s, rounds
+        if rounds >= p.rounds:
+            raise ArithmeticError(f"no convergence within {rounds} rounds: the scores still change by {change:g}")
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, p: Params | None = None) -> DataFrame:

@@ -76,16 +76,16 @@ def skew_join(df: DataFrame, per_key: DataFrame, key: str, share: float = 1 / 12
 def skew_distinct_count(df: DataFrame, key: str, member: str, out: str, share: float = 1 / 128) -> DataFrame:
     """(key, out): distinct non-null members of each non-null key.
 
-    Hot keys: duplicates go by (key, member), which spreads a hot key over all tasks, and the count that follows combines
-    before its shuffle. Other keys: one shuffle by key. A key whose members are all NULL has 0.
+    Duplicates go by (key, member), which spreads a key over all tasks, and the count that follows combines before its
+    shuffle: no task holds the members of a key, hot or just below the sketch's threshold. Hot keys are salted as well, so
+    the last step sees a row a salt and not a row a task. A key whose members are all NULL has 0.
     """
     rows = df.select(F.col(key), F.col(member)).where(F.col(key).isNotNull())
     heavy, light = _split(rows, key, share)
-    spread = heavy.groupBy(key, member).agg(F.lit(1).alias("one"))
-    heavy_out = spread.groupBy(key).agg(F.count(member).alias(out))
-    light_out = (
-        light.groupBy(key).agg(F.collect_set(member).alias("members")).select(key, F.size("members").cast("long").alias(out))
-    )
+    salt = F.pmod(F.xxhash64(member), F.lit(64)).alias("salt")
+    spread = heavy.groupBy(key, member).agg(F.lit(1).alias("one")).groupBy(key, salt).agg(F.count(member).alias(out))
+    heavy_out = spread.groupBy(key).agg(F.sum(out).alias(out))
+    light_out = light.groupBy(key, member).agg(F.lit(1).alias("one")).groupBy(key).agg(F.count(member).alias(out))
     return heavy_out.unionByName(light_out)
 
 

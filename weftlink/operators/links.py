@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from weftlink.config import Params
 from weftlink.functions.text import base_title, is_disambiguation, is_entity_title, link_target, links_of, without_external_links
 from weftlink.operators.kb import resolve
+from weftlink.operators.pages import once
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, title, href, anchor) of every link of every line, links to other sites removed first. Pages with a NULL id
     and NULL lines give nothing; pages delivered again count once."""
-    once = pages.where("page_id is not null and lines is not null").groupBy("page_id").agg(
-        F.first("title", ignorenulls=True).alias("title"), F.first("lines").alias("lines")
-    )
-    line = once.select("page_id", "title", F.explode("lines").alias("line")).where(F.lower("line").contains("<a"))
+    line = once(pages).select("page_id", "title", F.explode("lines").alias("line")).where(F.lower("line").contains("<a"))
     link = line.select("page_id", "title", F.explode(links_of(without_external_links(F.col("line")))).alias("link"))
     return link.select("page_id", "title", F.col("link.href").alias("href"), F.col("link.anchor").alias("anchor"))
 

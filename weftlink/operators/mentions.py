@@ -84,4 +84,4 @@ def context_vectors(parsed: DataFrame, kb: KnowledgeBase, p: Params | None = Non
     word with a vector give no row."""
     p = p or Params()
     words = context_words(parsed, p).withColumn("f", F.lit(1).cast("long"))
-    return embed(words, ["doc_id", "sf"], weighted_words(kb.word_vec, kb.word_freq, p))
+    return embed(words, ["doc_id", "sf"], weighted_words(kb.word_vec, kb.word_freq, p), kb.dim)

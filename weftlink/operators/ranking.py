@@ -36,7 +36,7 @@ def rerank(scored: DataFrame) -> DataFrame:
     rows = scored.select("doc_id", "sf", "entity_id", share("isa").alias("i"), share("pa").alias("q"))
     rows = rows.select("doc_id", "sf", "entity_id", (F.col("i") + F.col("q")).alias("sum"), (F.col("i") * F.col("q")).alias("mul"))
     rows = rows.select("doc_id", "sf", "entity_id", share("sum").alias("sum"), share("mul").alias("mul"))
-    # the two best of either criterion, from one aggregation that combines before its shuffle
+    # the two best of either criterion; a mention has at most Params.keep_top candidates, so its list is short
     top = lambda c: F.slice(F.array_sort(F.collect_list(F.struct((-F.col(c)).alias("s"), "entity_id"))), 1, 2)
     best = rows.groupBy("doc_id", "sf").agg(top("sum").alias("by_sum"), top("mul").alias("by_mul"))
     gap = lambda c: F.coalesce(F.try_element_at(F.col(c), F.lit(2))["s"], F.lit(0.0)) - F.col(c)[0]["s"]

@@ -33,7 +33,7 @@ def weighted_words(word_vec: DataFrame, word_freq: DataFrame, p: Params) -> Data
     )
 
 
-def embed(rows: DataFrame, keys: list[str], words: DataFrame, dim: int = 64) -> DataFrame:
+def embed(rows: DataFrame, keys: list[str], words: DataFrame, dim: int) -> DataFrame:
     """(*keys, vec) of rows (*keys, word, f): the weighted mean of the vectors of the words that have one; keys without
     such a word, or whose frequencies sum to 0, give no row.
 
@@ -47,6 +47,6 @@ def embed(rows: DataFrame, keys: list[str], words: DataFrame, dim: int = 64) ->
     return total.select(*keys, F.array(*[F.col(f"s{i}") / F.col("all_f") for i in range(dim)]).alias("vec"))
 
 
-def document_embedding(doc_token: DataFrame, word_vec: DataFrame, word_freq: DataFrame, p: Params, dim: int = 64) -> DataFrame:
+def document_embedding(doc_token: DataFrame, word_vec: DataFrame, word_freq: DataFrame, p: Params, dim: int) -> DataFrame:
     """(doc_id, vec): the raw embedding of every document."""
     return embed(doc_token, ["doc_id"], weighted_words(word_vec, word_freq, p), dim)

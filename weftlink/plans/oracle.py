@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from weftlink.functions.tokenizer import PROTOCOLS
-from weftlink.plans.queries import ROUNDS
+import re
 
-_PROTOCOLS = "|".join(PROTOCOLS)
+#: Rounds of the propagation with a fixed number, and most rounds to convergence.
+ROUNDS, MOST_ROUNDS = 8, 30
+#: Rounds of the power method for the common component.
+POWER = 60
+#: Schemes of links to other sites; fixed values.
+_PROTOCOLS = (
+    "bitcoin|ftp|ftps|geo|git|gopher|http|https|irc|ircs|magnet|mailto|mms|news|nntp|redis|sftp|sip|sips|sms|ssh|svn|tel|telnet|urn|"
+    "worldwind|xmpp"
+)
 _EXTERNAL = rf"""<a.*?href=[''"](({_PROTOCOLS})(?:%3a|:)|//).*?>\s*(.*?)\s*</a>"""
 _LINK = r"""(?i)<a.*?href="\s*(.+?)\s*".*?>\s*(.*?)\s*</a>"""
 _SKIP = "regexp_matches({0}, '(?i)^(?:lists?\\s+of|wikipedia:|template:|category:|file:)')"
@@ -34,7 +41,7 @@ _CTE: dict[str, tuple[list[str], str]] = {
     "allx": (["sto", "raw"], """SELECT doc_id, d AS dim, vec[d + 1] AS x FROM sto, range(64) r(d)
       UNION ALL SELECT doc_id, dim, x FROM raw WHERE doc_id NOT IN (SELECT doc_id FROM sto)"""),
     "de": (["allx"], "SELECT doc_id, dim, x FROM allx WHERE doc_id IN (SELECT doc_id FROM allx WHERE x <> 0)"),
-    "once": ([], """SELECT page_id, any_value(title) AS title, any_value(lines) AS lines FROM wiki_page
+    "once": ([], """SELECT page_id, min(title) AS title, any_value(lines) AS lines FROM wiki_page
       WHERE page_id IS NOT NULL AND lines IS NOT NULL GROUP BY page_id"""),
     "line": (["once"], """SELECT page_id, title, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no FROM once"""),
     "lnk0": (["line"], f"""SELECT page_id, title, regexp_replace(line, '{_EXTERNAL}', '\\3', 'gi') AS line FROM line
@@ -93,7 +100,7 @@ _CTE: dict[str, tuple[list[str], str]] = {
        SELECT doc_id, sf_b, b, sf_a, a, tr FROM half)"""),
     "s0": (["node"], "SELECT doc_id, sf, entity_id, isa, isa AS s FROM node"),
 }
-for _i in range(1, ROUNDS + 1):
+for _i in range(1, MOST_ROUNDS + 1):
     _CTE[f"s{_i}"] = (
         [f"s{_i - 1}", "mat"],
         f"""SELECT doc_id, sf, entity_id, isa, u / sum(u) OVER (PARTITION BY doc_id) AS s FROM (SELECT n.doc_id, n.sf, n.entity_id,
@@ -127,10 +134,65 @@ _CTE |= {
         for i in range(1, ROUNDS + 1)
     },
     "gold": (["wl"], "SELECT page_id AS doc_id, sf, max(entity_id) AS entity_id FROM wl WHERE NOT from_disambiguation GROUP BY page_id, sf"),
+    "named": (["occ", "ek"], "SELECT DISTINCT o.doc_id, o.sf, ek.only_id AS entity_id FROM occ o JOIN ek ON o.sf = ek.name_lower WHERE ek.k = 1"),
+    # the common component of a document, by the power method
+    "mx": (["cand", "cv", "de"], """SELECT c.doc_id, 'e' || c.entity_id AS r, d.dim, d.x FROM (SELECT DISTINCT doc_id, entity_id FROM cand SEMI JOIN cv USING (doc_id, sf)) c
+      JOIN de d ON d.doc_id = c.entity_id UNION ALL SELECT v.doc_id, 'c' || v.sf, v.dim, v.x FROM cv v SEMI JOIN cand USING (doc_id, sf)"""),
+    "gram": (["mx"], "SELECT a.doc_id, a.dim AS i, b.dim AS j, sum(a.x * b.x) AS g FROM mx a JOIN mx b ON a.doc_id = b.doc_id AND a.r = b.r GROUP BY ALL"),
+    "pw0": (["gram"], "SELECT DISTINCT doc_id, i, 1.0 + i / 64.0 AS v FROM gram"),
+    **{
+        f"pw{i}": (
+            ["gram", f"pw{i - 1}"],
+            f"""SELECT doc_id, i, u / sqrt(sum(u * u) OVER (PARTITION BY doc_id)) AS v FROM (SELECT g.doc_id, g.i, sum(g.g * p.v) AS u FROM gram g
+      JOIN pw{i - 1} p ON g.doc_id = p.doc_id AND g.j = p.i GROUP BY g.doc_id, g.i)""",
+        )
+        for i in range(1, POWER + 1)
+    },
+    "cd": ([f"pw{POWER}", "cv"], f"SELECT c.doc_id, c.sf, sum(c.x * p.v) AS along FROM cv c JOIN pw{POWER} p ON c.doc_id = p.doc_id AND c.dim = p.i GROUP BY ALL"),
+    "ed": ([f"pw{POWER}", "mx"], f"SELECT m.doc_id, m.r, sum(m.x * p.v) AS along FROM mx m JOIN pw{POWER} p ON m.doc_id = p.doc_id AND m.dim = p.i GROUP BY ALL"),
+    "psim": (["cand", "cv", "de", "cd", "ed"], f"""SELECT doc_id, sf, entity_id, (1 + coalesce(CASE WHEN nx * ny > 1e-24 THEN xy / sqrt(nx * ny) END, 0)) / 2 AS ctx_sim FROM
+      (SELECT c.doc_id, c.sf, c.entity_id, sum(x * y) AS xy, sum(x * x) AS nx, sum(y * y) AS ny FROM (SELECT c.doc_id, c.sf, c.entity_id,
+      v.x - cd.along * p.v AS x, d.x - ed.along * p.v AS y FROM cand c JOIN cv v ON c.doc_id = v.doc_id AND c.sf = v.sf
+      JOIN de d ON c.entity_id = d.doc_id AND v.dim = d.dim JOIN cd ON cd.doc_id = c.doc_id AND cd.sf = c.sf
+      JOIN ed ON ed.doc_id = c.doc_id AND ed.r = 'e' || c.entity_id JOIN pw{POWER} p ON p.doc_id = c.doc_id AND p.i = v.dim) c GROUP BY ALL)"""),
+    # the first round that changes the scores of a document by no more than the tolerance
+    **{
+        f"ch{i}": ([f"s{i - 1}", f"s{i}"], f"SELECT a.doc_id, {i} AS k, sqrt(sum((a.s - b.s) * (a.s - b.s))) AS change FROM s{i} a JOIN s{i - 1} b USING (doc_id, sf, entity_id) GROUP BY a.doc_id")
+        for i in range(1, MOST_ROUNDS + 1)
+    },
+    "stop": ([f"ch{i}" for i in range(1, MOST_ROUNDS + 1)], "SELECT doc_id, min(k) AS k FROM (" + " UNION ALL ".join(f"SELECT * FROM ch{i}" for i in range(1, MOST_ROUNDS + 1)) + ") WHERE change <= 0.001 GROUP BY doc_id"),
+    "conv": (["stop"], "SELECT s.doc_id, s.sf, s.entity_id, s.s FROM (" + " UNION ALL ".join(f"SELECT {i} AS k, * FROM s{i}" for i in range(1, MOST_ROUNDS + 1)) + ") s JOIN stop USING (doc_id, k)"),
     "bp": (["pri"], "SELECT sf, entity_id AS chosen FROM pri QUALIFY row_number() OVER (PARTITION BY sf ORDER BY n DESC, entity_id) = 1"),
 }
 
 
+def _again(prefix: str, names: list[str]) -> None:
+    """The named expressions once more, under a prefix, reading each other's copies."""
+    for n in names:
+        needed, text = _CTE[n]
+        for table in names:  # keeps the old name as an alias where none is given
+            text = re.sub(rf"\b(FROM|JOIN|, )\s*{table}(?=\s+(?:JOIN|LEFT|ON|WHERE|GROUP|QUALIFY|USING|SEMI|WINDOW)\b|\s*[,)]|\s*$)", rf"\1 {prefix}{table} AS {table}", text)
+            text = re.sub(rf"\b(FROM|JOIN)\s+{table}(?=\s+\w)(?!\s+AS\b)(?!\s+(?:JOIN|LEFT|ON|WHERE|GROUP|QUALIFY|USING|SEMI|WINDOW)\b)", rf"\1 {prefix}{table}", text)
+        _CTE.setdefault(prefix + n, ([prefix + x if x in names else x for x in needed], text))
+
+
+# the dictionary as documents
+_CTE["gcand"] = (["pri"], "SELECT CAST(length(sf) AS BIGINT) AS doc_id, * FROM pri")
+_CTE["gcv"] = (["bp", "de"], "SELECT CAST(length(bp.sf) AS BIGINT) AS doc_id, bp.sf, de.dim, de.x FROM bp JOIN de ON bp.chosen = de.doc_id")
+_again("g", [
+    "cand", "cv", "sim", "top", "node", "pair", "up", "sh", "tr", "half", "mat", "rr1", "rr2", "rr3", "rr4", "stop", "conv",
+    *[f"s{i}" for i in range(MOST_ROUNDS + 1)], *[f"ch{i}" for i in range(1, MOST_ROUNDS + 1)],
+])
+# a knowledge base built from pages alone
+_CTE["bent"] = (["once"], f"""SELECT page_id AS entity_id, title AS name, lower(title) AS name_lower FROM once
+  WHERE title IS NOT NULL AND NOT {_DISAMBIGUATION.format("title")}""")
+_CTE["btok"] = (["pt", "once"], rf"""SELECT page_id AS doc_id, word, count(*) AS f FROM (SELECT page_id,
+  unnest(string_split_regex(lower(text), '[\s\x{{a0}}\x{{85}}\x{{2000}}-\x{{200a}}\x{{3000}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{1680}}]+')) AS word FROM pt WHERE text <> ''
+  AND page_id NOT IN (SELECT page_id FROM once WHERE title IS NOT NULL AND {_DISAMBIGUATION.format("title")}))
+  WHERE word <> '' AND length(word) <= 128 GROUP BY page_id, word""")
+_again("b", ["ent", "ek", "wl", "tok", "wf", "tot", "ww", "wx", "raw"])
+
+
 def _sql(body: str, *needed: str) -> str:
     """The body after the expressions it needs, each once and in order."""
     order: list[str] = []
@@ -157,9 +219,12 @@ ORACLE = {
     "title_mentions": _sql("SELECT name_lower AS sf, entity_id, CAST(1 AS BIGINT) AS n FROM ent", "ent"),
     "inlink_edges": _sql("SELECT to_id, from_id FROM edges", "edges"),
     "inlink_counts": _sql("SELECT to_id, inlinks FROM inl", "inl"),
-    "inlink_arrays": _sql("""SELECT to_id, string_agg(CAST(from_id AS VARCHAR), ',' ORDER BY from_id) AS from_ids FROM edges
-      WHERE to_id NOT IN (SELECT to_id FROM link WHERE to_id IS NOT NULL GROUP BY to_id HAVING count(*) > 0.02 * (SELECT count(*) FROM link))
-      GROUP BY to_id""", "edges"),
+    **{
+        name: _sql(f"""SELECT to_id, piece, string_agg(CAST(from_id AS VARCHAR), ',' ORDER BY from_id) AS from_ids FROM
+      (SELECT e.to_id, e.from_id, CASE WHEN i.inlinks <= {most} THEN 0 ELSE CAST(floor(e.from_id / {most}.0) AS BIGINT) + 1 END AS piece
+       FROM edges e JOIN inl i ON e.to_id = i.to_id) GROUP BY to_id, piece""", "edges", "inl")
+        for name, most in (("inlink_arrays", 4096), ("inlink_pieces", 256))
+    },
     "word_freq": _sql("SELECT word, f FROM wf", "wf"),
     "total_word_count": _sql("SELECT CAST(total AS BIGINT) AS total FROM tot", "tot"),
     "sif_word_weight": _sql("SELECT word, round(weight, 6) AS weight FROM ww", "ww"),
@@ -184,7 +249,33 @@ ORACLE = {
     "mention_markup": _sql("SELECT doc_id, sf, \"start\", \"end\" FROM occ", "occ"),
     "context_window": _sql("SELECT doc_id, sf, word FROM ctx", "ctx"),
     "candidates_prior": _sql("SELECT sf, entity_id, n, round(prior, 6) AS prior FROM pri", "pri"),
-    "nil_mentions": _sql("SELECT DISTINCT doc_id, sf FROM occ WHERE sf NOT IN (SELECT sf FROM pri)", "occ", "pri"),
+    "nil_mentions": _sql("""SELECT DISTINCT doc_id, sf FROM occ WHERE sf NOT IN (SELECT sf FROM pri)
+      OR (doc_id, sf) NOT IN (SELECT (doc_id, sf) FROM cv WHERE x <> 0)""", "occ", "pri", "cv"),
+    "common_component": _sql("SELECT doc_id, sf, entity_id, round(ctx_sim, 4) AS ctx_sim FROM psim", "psim"),
+    "pagerank_converged": _sql("SELECT doc_id, sf, entity_id, round(s, 6) AS pa FROM conv", "conv"),
+    "dictionary_topk": _sql("""SELECT sf, entity_id, round(ctx_sim, 3) AS ctx_sim FROM gsim QUALIFY row_number() OVER
+      (PARTITION BY sf ORDER BY round(ctx_sim, 6) DESC, entity_id) <= 3""", "gsim"),
+    "dictionary_propagation": _sql("SELECT doc_id, src_sf, src, dst_sf, dst, round(w, 6) AS w FROM gmat", "gmat"),
+    "dictionary_converged": _sql("SELECT sf, entity_id, round(s, 6) AS pa FROM gconv", "gconv"),
+    "dictionary_rerank": _sql("SELECT sf, CASE WHEN gs > gm THEN es ELSE em END AS entity_id FROM grr4", "grr4"),
+    "dictionary_best": _sql(f"""SELECT sf, entity_id FROM g{_LAST} WHERE s > 0 QUALIFY row_number() OVER
+      (PARTITION BY sf ORDER BY round(s, 9) DESC, entity_id) = 1""", f"g{_LAST}"),
+    "redirect_mentions": _sql("""SELECT 'the ' || lower(upper(e.name)) AS sf, CASE WHEN ek.k = 1 THEN ek.only_id ELSE e.entity_id END AS entity_id,
+      count(*) AS n FROM ent e JOIN ek ON lower(e.name) = ek.name_lower WHERE NOT """ + _SKIP.format("e.name") + " AND NOT " + _DISAMBIGUATION.format("e.name") + """
+      GROUP BY 1, 2""", "ent", "ek"),
+    "kb_build_entity": _sql("SELECT entity_id, name, name_lower FROM bent", "bent"),
+    "kb_build_mention": _sql("""SELECT sf, entity_id, count(*) AS n FROM (SELECT sf, entity_id FROM bwl UNION ALL
+      SELECT name_lower, entity_id FROM bent) GROUP BY sf, entity_id""", "bwl", "bent"),
+    "kb_build_link": _sql("SELECT DISTINCT entity_id AS to_id, page_id AS from_id FROM bwl WHERE NOT from_disambiguation", "bwl"),
+    "kb_build_doc_token": _sql("SELECT doc_id, word, f FROM btok", "btok"),
+    "kb_build_word_freq": _sql("SELECT word, f FROM bwf", "bwf"),
+    "kb_build_embedding": _sql("""SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(x, 4) + 0.0 AS x FROM braw
+      WHERE doc_id IN (SELECT doc_id FROM braw WHERE x <> 0)""", "braw"),
+    "tokenizer_goldens": """SELECT CAST(i AS INTEGER) AS line_no, t AS tokens FROM (VALUES (0, 'it ''s up .'), (1, 'do n''t'), (2, 'up , "'), (3, 'he said " rize . "'),
+      (4, 'wait ... and'), (5, 'us$ 5 or $ 1.5'), (6, 'and / or 1996/97'), (7, 'in 2005 .'), (8, '2005.'), (9, 'the u.s. is'), (10, 'in the u.s .'),
+      (11, 'mr. x came'), (12, 'foo - \\$ 5'), (13, 'SOCCER - Late'), (14, '1 - Jan x'), (15, '5. Mai x'), (16, 'J. Smith x'), (17, 'xx .. yy'),
+      (18, '-- x'), (19, 'he said ( yes )'), (20, ''), (21, 'really ?'), (22, 'abc . - Def x'), (23, 'we ''ll go'), (24, 'x ( y ) z'),
+      (25, ''), (26, '')) v(i, t)""",
     "context_similarity": _sql("SELECT doc_id, sf, entity_id, round(ctx_sim, 4) AS ctx_sim FROM sim", "sim"),
     "topk_candidates": _sql("""SELECT doc_id, sf, entity_id, round(ctx_sim, 4) AS ctx_sim FROM sim QUALIFY row_number() OVER
       (PARTITION BY doc_id, sf ORDER BY round(ctx_sim, 6) DESC, entity_id) <= 3""", "sim"),
@@ -198,6 +289,10 @@ ORACLE = {
     "link_relatedness": _sql("SELECT a, b, round(tr, 6) AS tr FROM ltr", "ltr"),
     "link_pagerank": _sql(f"SELECT entity_id, round(s, 8) AS pa FROM l{ROUNDS}", f"l{ROUNDS}"),
     "evaluate_accuracy": _sql("""SELECT count(*) AS documents, CAST(coalesce(sum(total), 0) AS BIGINT) AS total, CAST(coalesce(sum(correct), 0) AS BIGINT) AS correct,
+      CAST(coalesce(sum(nil), 0) AS BIGINT) AS nil FROM (SELECT g.doc_id, count(*) AS total, count(*) FILTER (WHERE c.chosen = g.entity_id) AS correct,
+      count(*) FILTER (WHERE c.chosen IS NULL) AS nil FROM named g LEFT JOIN (SELECT doc_id, sf, CASE WHEN gs > gm THEN es ELSE em END AS chosen FROM rr4) c
+      ON g.doc_id = c.doc_id AND g.sf = c.sf GROUP BY g.doc_id) WHERE total > nil""", "named", "rr4"),
+    "evaluate_prior": _sql("""SELECT count(*) AS documents, CAST(coalesce(sum(total), 0) AS BIGINT) AS total, CAST(coalesce(sum(correct), 0) AS BIGINT) AS correct,
       CAST(coalesce(sum(nil), 0) AS BIGINT) AS nil FROM (SELECT g.doc_id, count(*) AS total, count(*) FILTER (WHERE bp.chosen = g.entity_id) AS correct,
       count(*) FILTER (WHERE bp.chosen IS NULL) AS nil FROM gold g LEFT JOIN bp ON g.sf = bp.sf GROUP BY g.doc_id) WHERE total > nil""", "gold", "bp"),
     "conll_mentions": """WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER w - 1 AS line_no, l_returnflag AS m, l_partkey, l_suppkey,

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from weftlink.config import Params
 from weftlink.functions.hygiene import cut, table
-from weftlink.functions.text import is_disambiguation, is_entity_title, stripped_of_tags, words
+from weftlink.functions.text import is_disambiguation, is_entity_title, words
 from weftlink.functions.tokenizer import MAX_TOKEN, curated, tokenize_column
 from weftlink.operators import candidates as C
 from weftlink.operators import graph as G
@@ -17,12 +17,15 @@ from weftlink.operators import links as L
 from weftlink.operators import mentions as M
 from weftlink.operators import ranking as R
 from weftlink.operators.hot_keys import hot_keys, skew_distinct_count, skew_sum
+from weftlink.operators.pages import document_frequencies, page_lines
 from weftlink.operators.sif import document_embedding, total_frequency, weighted_words
 from weftlink.plans import pipeline
 from weftlink.sources.texts import labelled_mentions
 
 P = Params()
 ROUNDS = 8
+#: Inlinks of a small piece, and candidates kept of a form, in the queries that show either.
+SMALL_PIECE, TOP = 256, 3
 
 
 def _t(spark: SparkSession, data: str, *names: str) -> list[DataFrame]:
@@ -69,19 +72,19 @@ def inlink_counts(spark: SparkSession, data: str) -> DataFrame:
     return K.inlink_counts(K.link_set(table(spark, data, "link")))
 
 
+def _inlinks(spark: SparkSession, data: str, most: int) -> DataFrame:
+    rows = K.inlink_pieces(cut(K.link_set(table(spark, data, "link"))), most)
+    return rows.select("to_id", "piece", F.array_join("from_ids", ",").alias("from_ids"))
+
+
 def inlink_arrays(spark: SparkSession, data: str) -> DataFrame:
-    """The nested view, as its SQL has it: entities with more than 2 percent of the rows of link are left out. Their sets,
-    like all others, are in inlink_pieces."""
-    link = table(spark, data, "link")
-    hot = hot_keys(link, "to_id").select("to_id")
-    rows = K.link_set(link.join(F.broadcast(hot), "to_id", "left_anti"))
-    return rows.groupBy("to_id").agg(F.array_join(F.array_sort(F.collect_set("from_id")), ",").alias("from_ids"))
+    """The nested view: the inlink set of every entity, those of very many in pieces."""
+    return _inlinks(spark, data, K.PIECE_LINKS)
 
 
 def inlink_pieces(spark: SparkSession, data: str) -> DataFrame:
-    """The inlink set of every entity, hot or not, in pieces of bounded size."""
-    rows = K.inlink_pieces(cut(K.link_set(table(spark, data, "link"))))
-    return rows.select("to_id", "piece", F.array_join("from_ids", ",").alias("from_ids"))
+    """The same in pieces so small that every hot entity has several."""
+    return _inlinks(spark, data, SMALL_PIECE)
 
 
 def word_freq(spark: SparkSession, data: str) -> DataFrame:
@@ -104,7 +107,7 @@ def _long(vectors: DataFrame) -> DataFrame:
 
 def sif_doc_embedding(spark: SparkSession, data: str) -> DataFrame:
     kb = knowledge_base(spark, data)
-    return _long(document_embedding(kb.doc_token, kb.word_vec, kb.word_freq, P))
+    return _long(document_embedding(kb.doc_token, kb.word_vec, kb.word_freq, P, kb.dim))
 
 
 def doc_embedding_complete(spark: SparkSession, data: str) -> DataFrame:
@@ -144,28 +147,34 @@ def disambiguation_filter(spark: SparkSession, data: str) -> DataFrame:
     return rows.select("title", is_disambiguation(t).alias("disambiguation"), is_entity_title(t).alias("entity_title"))
 
 
-def _page_lines(spark: SparkSession, data: str) -> DataFrame:
-    once = table(spark, data, "wiki_page").where("page_id is not null and lines is not null").groupBy("page_id").agg(F.first("lines").alias("lines"))
-    lines = once.select("page_id", F.posexplode("lines").alias("line_no", "line")).where("line is not null")
-    return lines.select("page_id", "line_no", stripped_of_tags(F.col("line")).alias("text")).where("text <> ''")
-
-
 def page_text(spark: SparkSession, data: str) -> DataFrame:
     """Text of every line without tags."""
-    return _page_lines(spark, data)
+    return page_lines(table(spark, data, "wiki_page"))
 
 
 def doc_token_freq(spark: SparkSession, data: str) -> DataFrame:
-    """Term frequencies of the pages by white-space words."""
-    tokens = _page_lines(spark, data).select("page_id", F.explode(curated(words(F.lower("text")))).alias("word"))
+    """Term frequencies of the pages by white-space words, cut and curated by built-in functions."""
+    tokens = page_lines(table(spark, data, "wiki_page")).select("page_id", F.explode(curated(words(F.lower("text")))).alias("word"))
     return tokens.groupBy("page_id", "word").agg(F.count("*").alias("f"))
 
 
 def doc_token_freq_conll(spark: SparkSession, data: str) -> DataFrame:
     """Term frequencies of the pages by the full tokenizer."""
-    lines = _page_lines(spark, data).select("page_id", F.lower("text").alias("text"))
-    tokens = tokenize_column(lines, "page_id", "text").select("page_id", F.explode("tokens").alias("word"))
-    return tokens.groupBy("page_id", "word").agg(F.count("*").alias("f"))
+    return document_frequencies(table(spark, data, "wiki_page")).withColumnRenamed("doc_id", "page_id")
+
+
+#: Lines and their tokens by the full tokenizer, which SQL holds as well.
+GOLDENS = (
+    "it's up.", "don't", 'up,"', 'he said "rize."', "wait... and", "us$5 or $1.5", "and/or 1996/97", "in 2005.", "2005.", "the u.s. is",
+    "in the u.s.", "mr. x came", "foo-$5", "SOCCER-Late", "1-Jan x", "5.Mai x", "J.Smith x", "xx..yy", "--x", "he said (yes)", "http://a/b",
+    "really?", "abc.-Def x", "we'll go", "x(y)z", "", "  ",
+)
+
+
+def tokenizer_goldens(spark: SparkSession, data: str) -> DataFrame:
+    """The curated tokens of some fixed lines, joined by blanks; a URL is curated away."""
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(GOLDENS)], "line_no int, line string")
+    return tokenize_column(rows, "line_no", "line").select("line_no", F.array_join("tokens", " ").alias("tokens"))
 
 
 def token_length_filter(spark: SparkSession, data: str) -> DataFrame:
@@ -191,60 +200,62 @@ def candidates_prior(spark: SparkSession, data: str) -> DataFrame:
     return C.prior_table(knowledge_base(spark, data), P).select("sf", "entity_id", "n", F.round("prior", 6).alias("prior"))
 
 
-def _candidates(spark: SparkSession, data: str, kb: K.KnowledgeBase) -> tuple[DataFrame, DataFrame]:
+def _candidates(spark: SparkSession, data: str) -> tuple[DataFrame, DataFrame, K.KnowledgeBase]:
+    """The documents, the candidates of their forms, and the part of the knowledge base that these need."""
     parsed = cut(_parsed(spark, data))
-    return parsed, C.document_candidates(M.occurrences(parsed), C.prior_table(kb, P))
+    kb = knowledge_base(spark, data).for_forms(M.occurrences(parsed))
+    return parsed, C.document_candidates(M.occurrences(parsed), C.prior_table(kb, P)), kb
 
 
 def nil_mentions(spark: SparkSession, data: str) -> DataFrame:
-    parsed, candidates = _candidates(spark, data, knowledge_base(spark, data))
-    return C.nil_mentions(M.occurrences(parsed), candidates)
+    """Mentions without a candidate or a usable context."""
+    parsed, candidates, kb = _candidates(spark, data)
+    return C.nil_mentions(M.occurrences(parsed), candidates, M.context_vectors(parsed, kb, P))
 
 
-def _scored(spark: SparkSession, data: str, kb: K.KnowledgeBase) -> DataFrame:
-    parsed, candidates = _candidates(spark, data, kb)
-    return C.context_similarity(candidates, M.context_vectors(parsed, kb, P), kb.doc_embedding)
+def _scored(spark: SparkSession, data: str) -> tuple[DataFrame, K.KnowledgeBase]:
+    parsed, candidates, kb = _candidates(spark, data)
+    return C.context_similarity(candidates, M.context_vectors(parsed, kb, P), kb.doc_embedding), kb
 
 
 def context_similarity(spark: SparkSession, data: str) -> DataFrame:
     """Similarities without removal of the common component."""
-    scored = _scored(spark, data, knowledge_base(spark, data))
+    scored, _ = _scored(spark, data)
     return scored.select("doc_id", "sf", "entity_id", F.round("ctx_sim", 4).alias("ctx_sim"))
 
 
 def common_component(spark: SparkSession, data: str) -> DataFrame:
     """Similarities after removal of the common component of each document."""
-    kb = knowledge_base(spark, data)
-    parsed, candidates = _candidates(spark, data, kb)
+    parsed, candidates, kb = _candidates(spark, data)
     scored = C.projected_similarity(candidates, M.context_vectors(parsed, kb, P), kb.doc_embedding)
     return scored.select("doc_id", "sf", "entity_id", F.round("ctx_sim", 4).alias("ctx_sim"))
 
 
 def topk_candidates(spark: SparkSession, data: str) -> DataFrame:
     """The three best candidates of each mention."""
-    top = C.keep_top(_scored(spark, data, knowledge_base(spark, data)).withColumn("ctx_sim", F.round("ctx_sim", 6)), 3)
+    top = C.keep_top(_scored(spark, data)[0].withColumn("ctx_sim", F.round("ctx_sim", 6)), TOP)
     return top.select("doc_id", "sf", "entity_id", F.round("ctx_sim", 4).alias("ctx_sim"))
 
 
-def _nodes(spark: SparkSession, data: str, kb: K.KnowledgeBase) -> DataFrame:
-    return cut(R.initial_scores(C.keep_top(_scored(spark, data, kb), P.keep_top), P))
+def _nodes(spark: SparkSession, data: str) -> tuple[DataFrame, K.KnowledgeBase]:
+    scored, kb = _scored(spark, data)
+    return cut(R.initial_scores(C.keep_top(scored, P.keep_top), P)), kb
 
 
 def initial_score(spark: SparkSession, data: str) -> DataFrame:
-    nodes = _nodes(spark, data, knowledge_base(spark, data))
+    nodes, _ = _nodes(spark, data)
     return nodes.select("doc_id", "sf", "entity_id", F.round("raw", 4).alias("raw"), F.round("isa", 6).alias("isa"))
 
 
 def initial_choice(spark: SparkSession, data: str) -> DataFrame:
-    nodes = _nodes(spark, data, knowledge_base(spark, data))
+    nodes, _ = _nodes(spark, data)
     return R.best_by(nodes.withColumn("raw", F.round("raw", 9)), "raw")
 
 
 def _graph(spark: SparkSession, data: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    kb = knowledge_base(spark, data)
-    nodes = _nodes(spark, data, kb)
+    nodes, kb = _nodes(spark, data)
     pairs = cut(G.node_pairs(nodes))
-    related = G.topical_relatedness(pairs, kb.link, kb.entity.agg(F.count("*").alias("wp")))
+    related = G.topical_relatedness(pairs, kb.link, kb.pages)
     return nodes, pairs, related, G.propagation_edges(pairs, related)
 
 
@@ -274,6 +285,53 @@ def rerank(spark: SparkSession, data: str) -> DataFrame:
     return R.rerank(ranked.withColumns({"isa": F.round("isa", 9), "pa": F.round("pa", 9)}))
 
 
+def _dictionary(spark: SparkSession, data: str) -> tuple[DataFrame, K.KnowledgeBase]:
+    """The whole dictionary as documents, one for all forms of a length, in which every operator has much to decide: the
+    context of a form is the embedding of its most counted candidate."""
+    kb = knowledge_base(spark, data)
+    priors = cut(C.prior_table(kb, P))
+    length = F.length("sf").cast("long").alias("doc_id")
+    best = priors.groupBy("sf").agg(F.min_by("entity_id", F.struct(-F.col("n"), "entity_id")).alias("best"))
+    contexts = best.join(kb.doc_embedding.withColumnRenamed("doc_id", "best"), "best").select(length, "sf", "vec")
+    return C.context_similarity(priors.select(length, "*"), contexts, kb.doc_embedding), kb
+
+
+def dictionary_topk(spark: SparkSession, data: str) -> DataFrame:
+    """The three best candidates of every form of the dictionary."""
+    scored, _ = _dictionary(spark, data)
+    top = C.keep_top(scored.withColumn("ctx_sim", F.round("ctx_sim", 6)), TOP)
+    return top.select("sf", "entity_id", F.round("ctx_sim", 3).alias("ctx_sim"))
+
+
+def _dictionary_graph(spark: SparkSession, data: str) -> tuple[DataFrame, DataFrame]:
+    scored, kb = _dictionary(spark, data)
+    nodes = cut(R.initial_scores(C.keep_top(scored, P.keep_top), P))
+    pairs = cut(G.node_pairs(nodes))
+    return nodes, G.propagation_edges(pairs, G.topical_relatedness(pairs, kb.link, kb.pages))
+
+
+def dictionary_propagation(spark: SparkSession, data: str) -> DataFrame:
+    """The propagation matrices of the dictionary."""
+    return _dictionary_graph(spark, data)[1].withColumn("w", F.round("w", 6))
+
+
+def dictionary_converged(spark: SparkSession, data: str) -> DataFrame:
+    """Scores propagated to convergence over the dictionary."""
+    return G.page_rank(*_dictionary_graph(spark, data), P).select("sf", "entity_id", F.round("pa", 6).alias("pa"))
+
+
+def dictionary_rerank(spark: SparkSession, data: str) -> DataFrame:
+    """Re-ranking of the dictionary after a fixed number of rounds."""
+    ranked = G.page_rank_rounds(*_dictionary_graph(spark, data), ROUNDS, P)
+    return R.rerank(ranked.withColumns({"isa": F.round("isa", 9), "pa": F.round("pa", 9)})).select("sf", "entity_id")
+
+
+def dictionary_best(spark: SparkSession, data: str) -> DataFrame:
+    """The candidate of the largest propagated score, by itself."""
+    ranked = G.page_rank_rounds(*_dictionary_graph(spark, data), ROUNDS, P)
+    return R.best_by(ranked.withColumn("pa", F.round("pa", 9)), "pa").select("sf", "entity_id")
+
+
 def _link_graph(spark: SparkSession, data: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole link table as one graph: nodes with their share of all inlinks, the pairs of linked entities, relatedness."""
     entity, link = K.entity_table(table(spark, data, "entity")), cut(K.link_set(table(spark, data, "link")))
@@ -301,7 +359,16 @@ def link_pagerank(spark: SparkSession, data: str) -> DataFrame:
 
 
 def evaluate_accuracy(spark: SparkSession, data: str) -> DataFrame:
-    """Links of the pages as labelled mentions, against the most likely entity of each form by its prior."""
+    """The linker, with re-ranking after a fixed number of rounds, against the documents' forms that are the name of just
+    one entity."""
+    names = K.entity_table(table(spark, data, "entity")).groupBy("name_lower").agg(F.count("*").alias("k"), F.min("entity_id").alias("entity_id"))
+    forms = M.occurrences(_parsed(spark, data)).select("doc_id", "sf").distinct()
+    gold = forms.join(names.where("k = 1").select(F.col("name_lower").alias("sf"), "entity_id"), "sf").select("doc_id", "sf", "entity_id")
+    return pipeline.accuracy(gold, rerank(spark, data))
+
+
+def evaluate_prior(spark: SparkSession, data: str) -> DataFrame:
+    """A baseline: links of the pages as labelled mentions, against the most likely entity of each form by its prior."""
     links = _wiki_links(spark, data).where("not from_disambiguation")
     gold = links.groupBy(F.col("page_id").alias("doc_id"), "sf").agg(F.max("entity_id").alias("entity_id"))
     priors = C.prior_table(knowledge_base(spark, data), P)
@@ -331,6 +398,42 @@ def disambiguate(spark: SparkSession, data: str) -> DataFrame:
     return pipeline.disambiguate(table(spark, data, "documents"), knowledge_base(spark, data), P)
 
 
+def redirect_mentions(spark: SparkSession, data: str) -> DataFrame:
+    """Redirects: the name of every entity with an article before it, in capitals, stands for the entity."""
+    entity = K.entity_table(table(spark, data, "entity"))
+    redirects = entity.select(F.concat(F.lit("The "), F.upper("name")).alias("title"), F.col("name").alias("target"))
+    return L.mentions_of_redirects(redirects, entity)
+
+
+def _built(spark: SparkSession, data: str) -> K.KnowledgeBase:
+    """A knowledge base built from pages and word vectors alone."""
+    return pipeline.build_knowledge_base(*_t(spark, data, "wiki_page", "word_embedding"), p=P, tokenizer="simple")
+
+
+def kb_build_entity(spark: SparkSession, data: str) -> DataFrame:
+    return _built(spark, data).entity
+
+
+def kb_build_mention(spark: SparkSession, data: str) -> DataFrame:
+    return _built(spark, data).mention
+
+
+def kb_build_link(spark: SparkSession, data: str) -> DataFrame:
+    return _built(spark, data).link
+
+
+def kb_build_doc_token(spark: SparkSession, data: str) -> DataFrame:
+    return _built(spark, data).doc_token
+
+
+def kb_build_word_freq(spark: SparkSession, data: str) -> DataFrame:
+    return _built(spark, data).word_freq
+
+
+def kb_build_embedding(spark: SparkSession, data: str) -> DataFrame:
+    return _long(_built(spark, data).doc_embedding)
+
+
 def p6_found(spark: SparkSession, data: str) -> DataFrame:
     """Keys of link and mention_count that hold more than 2 percent of the rows."""
     link, mention = table(spark, data, "link"), table(spark, data, "mention_count")
@@ -360,6 +463,8 @@ QUERIES = {
         token_length_filter, mention_markup, context_window, candidates_prior, nil_mentions, context_similarity,
         common_component, topk_candidates, initial_score, initial_choice, topical_relatedness, propagation_matrix,
         pagerank_fixed_k, pagerank_converged, rerank, link_relatedness, link_pagerank, evaluate_accuracy, conll_mentions, disambiguate, p6_found,
-        p6_inlink_sizes, p6_candidate_counts,
+        p6_inlink_sizes, p6_candidate_counts, tokenizer_goldens, dictionary_topk, dictionary_propagation, dictionary_converged,
+        dictionary_rerank, dictionary_best, evaluate_prior, redirect_mentions, kb_build_entity, kb_build_mention, kb_build_link,
+        kb_build_doc_token, kb_build_word_freq, kb_build_embedding,
     )
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.operators.kb import duplicate_keys, link_set, mention_dictionary
+from weftlink.operators.kb import link_set, mention_dictionary
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -15,14 +15,26 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def insert_unique(df: DataFrame, path: str, key: str, value: str) -> None:
-    """Appends rows with unique keys; raises if a key comes with several values. An empty table appends nothing."""
-    bad = duplicate_keys(df, key, value).limit(1).collect()
+def insert_unique(df: DataFrame, path: str, key: str) -> None:
+    """Appends rows whose keys are new and unique. Raises, and writes nothing, if a key occurs twice among the rows or is
+    stored already, whatever else the rows hold. NULL keys are refused too; an empty table appends nothing."""
+    spark = df.sparkSession
+    own = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
+    rows = own.withColumn("stored", F.lit(False))
+    if _exists(spark, path):
+        stored = spark.read.parquet(path).select(F.col(key).alias("k"), F.lit(True).alias("there"))
+        rows = own.join(stored, "k", "left").select("k", "n", F.col("there").isNotNull().alias("stored"))
+    bad = rows.where("n > 1 or stored or k is null").take(1)
     if bad:
-        raise ValueError(f"{key} {bad[0][key]!r} comes with {bad[0]['versions']} values")
+        raise ValueError(f"{key} {bad[0]['k']!r} " + ("is stored already" if bad[0]["stored"] else "is NULL" if bad[0]["k"] is None else f"occurs {bad[0]['n']} times"))
     df.write.mode("append").parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def _versions(spark: SparkSession, root: str) -> list[int]:
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
