@@ -1,7 +1,7 @@
 import pytest
 
 from conftest import rows
-from weftlink.functions.tokenizer import curate, simple_tokens, tokenize, tokenize_column
+from weftlink.functions.tokenizer import _InnerMark, curate, simple_tokens, tokenize, tokenize_column
 
 
 @pytest.mark.parametrize(
@@ -25,6 +25,17 @@ def test_none_and_very_long():
     assert tokenize("x" * 200_000 + ".") == ["x" * 200_000, "."]
 
 
+def test_inner_mark_equals_its_pattern():
+    import random
+    import re
+
+    pattern, rng = re.compile(r"^(.*[a-z].*)([\",()])(.*[a-z].*)$", re.I), random.Random(8)
+    for _ in range(3000):
+        word = "".join(rng.choice('aB1(),"-') for _ in range(rng.randint(1, 9)))
+        m = pattern.match(word)
+        assert _InnerMark()(word, False, False) == (list(m.groups()) if m else None), word
+
+
 def test_curation():
     assert curate(["hotel:/x", "mailto:a@b", "HTTP%3a/x", "ok", "y" * 129, "y" * 128]) == ["mailto:a@b", "ok", "y" * 128]
     assert simple_tokens("a b " + "z" * 129) == ["a", "b"]
