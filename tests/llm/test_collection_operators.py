@@ -132,6 +132,70 @@ def test_variants(spark):
     assert N.link_variants(typed, entities.limit(0), aliases).count() == 0
 
 
+UNLISTED = {
+    "giovanni verdi": ["giovani verdi", "g. verdi", "verdi, giovanni", "giovanni vredi"], "Mei Lin Zhang": ["mei lin zhagn", "zhang mei lin", "zhang, mei lin"],
+    "Olga Petrova": ["olga pertova", "o. petrova", "petrova olga"], "Ahmed Hassan": ["ahmed hasan", "hassan, ahmed"], "Amartya Sen": ["amartya sen phd", "a. sen", "amrtya sen"],
+    "Rossi, Bruno": ["bruno rosi", "b. rossi"], "Toyota Motor": ["toyta motor", "toyota motors", "toyota mot."], "Deutsche Bahn": ["deutche bahn", "deutsche bhan"],
+    "Jonathan Lee": ["j. lee", "jon lee"], "Li Wu": ["wu li", "wu, li"], "Margaret Feniparku": ["maggei feniparku", "maggie feniparku"],
+    "Robert Smyth": ["bob smith", "r. smyth"], "Giovanni Verdelucci": ["giovanni verdeluci"], "Kaiser & Sons": ["kaisr & sons"],
+}
+
+
+def test_names_on_no_list(spark):
+    names = list(UNLISTED) + ["Verdi Street", "Petrova (film)", "Lake Hassan", "Verdi", "Hans Petrov", "Smithers"]
+    entities = spark.createDataFrame(list(enumerate(names)), "entity_id long, name string")
+    aliases = spark.createDataFrame([("margaret", "maggie"), ("robert", "bob"), ("jonathan", "jon")], "given_name string, alias string")
+    typed = {v: k for k, vs in UNLISTED.items() for v in vs}
+    others = ["carla verdi", "verdi tunnel", "toyota", "wu", "ali hassan", "deutsche bank", "x. petrova"]
+    df = spark.createDataFrame([(t,) for t in [*typed, *others]], "name string")
+    got = {n: names[e] for n, e in rows(N.link_variants(df, entities, aliases), "name", "entity_id")}
+    assert not {t: k for t, k in typed.items() if got.get(t) != k}
+    assert not set(others) & set(got)
+
+
+def test_blocks_lose_no_spelling_with_one_error():
+    """Any single error in a word of any length leaves a block key intact."""
+    from random import Random
+
+    rng, letters = Random(6), "abcdefghij"
+
+    def keys(w, typed):
+        out = set()
+        if len(w) <= N.MIN_SUFFIX:
+            out.add("=" + w)
+        if N.MIN_SUFFIX - typed < len(w) <= N.SHORT_WORD + typed:
+            out |= {"~" + w} | {"~" + w[:i] + w[i + 1 :] for i in range(len(w))}
+        sizes = range(len(w) - N.EDITS, len(w) + N.EDITS + 1) if typed else [len(w)]
+        for h in {min(N.MAX_SUFFIX, max(N.MIN_SUFFIX, (n - 1) // 2)) for n in sizes if n > N.SHORT_WORD}:
+            out |= {"<" + w[:h], ">" + w[-h:]}
+        return out
+
+    for _ in range(4000):
+        w = "".join(rng.choice(letters) for _ in range(rng.randint(4, 20)))
+        i, kind = rng.randrange(len(w)), rng.randrange(4)
+        v = {0: w[:i] + w[i + 1 :], 1: w[:i] + "z" + w[i:], 2: w[:i] + "z" + w[i + 1 :], 3: w[:i] + w[i : i + 2][::-1] + w[i + 2 :]}[kind]
+        if N.alike(v, w):
+            assert keys(v, True) & keys(w, False), (v, w)
+
+
+def test_distances_against_tables():
+    from random import Random
+
+    def osa(a, b):
+        d = {(i, j): max(i, j) if not min(i, j) else 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = Random(5)
+    for _ in range(1500):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 11))) for _ in "ab")
+        assert N.edits(a, b) == osa(a, b), (a, b)
+
+
 def test_common_suffixes_are_refined_not_lost(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 3)
     names = [(i, f"{g} {c}onburgo") for i, (g, c) in enumerate((g, c) for g in ("Adam", "Brian", "Clara", "Diana", "Edgar") for c in "bcdfgklmpr")]
