@@ -31,6 +31,35 @@ def test_subset_brute_force_when_no_sum_fits():
     assert mixing.nearest_subset(np.array([], dtype=int), np.array([], dtype=int), 5).sum() == 0
 
 
+def test_long_documents():
+    take = lambda n, count, target: int(mixing.nearest_subset(np.array([n]), np.array([count]), target)[0])
+    assert [take(100_000, 10, t) for t in (290_000, 99_000, 49_000, 50_000, 950_001)] == [3, 1, 0, 0, 10]
+    assert [take(60_000, 10, t) for t in (290_000, 99_000)] == [5, 2]
+
+
+def test_subset_brute_force_over_all_lengths():
+    rng = np.random.default_rng(9)
+    for seed in range(60):
+        lengths = np.unique((10 ** rng.uniform(0, 6, 5)).astype(int))
+        counts = rng.integers(0, 3, len(lengths))
+        sums = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            sums = {s + k * int(n) for s in sums for k in range(c + 1)}
+        target = int(rng.integers(0, max(sums) + 10))
+        got = int((mixing.nearest_subset(lengths, counts, target, seed) * lengths).sum())
+        assert got in sums and abs(got - target) == min(abs(s - target) for s in sums)
+
+
+def test_large_targets_come_near():
+    rng = np.random.default_rng(4)
+    lengths = np.unique((10 ** rng.uniform(0, 5, 300)).astype(int))
+    counts = rng.integers(1, 10**6, len(lengths))
+    total = int((lengths * counts).sum())
+    for share in (0.001, 0.37, 0.999):
+        take = mixing.nearest_subset(lengths, counts, int(total * share), 1)
+        assert (take <= counts).all() and int((take * lengths).sum()) == int(total * share)
+
+
 def test_mixture(spark):
     docs = [(i, "big", 10) for i in range(100)] + [(1000 + i, "small", 7) for i in range(10)] + [(5000, "big", 0), (6000, None, 3), (7000, "other", 5), (7001, "none", 4)]
     counted = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")

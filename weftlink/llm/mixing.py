@@ -21,59 +21,71 @@ from pyspark.sql.window import Window
 from weftlink.functions.hygiene import cut, ship
 from weftlink.llm.byte_bpe import DEFAULT_VOCABULARY, encode_texts
 
-#: Gap, in tokens, that the dynamic programme closes; buckets that the documents of one length are spread over.
-GAP, BUCKETS = 1 << 16, 4096
+#: Buckets that the documents of one length are spread over. Gap, in tokens, that the dynamic programme closes: this or so
+#: many times the longest document.
+BUCKETS, GAP, GAP_DOCUMENTS = 4096, 1 << 18, 8
 
 
 def nearest_subset(lengths: np.ndarray, counts: np.ndarray, target: int, seed: int = 0) -> np.ndarray:
-    """How many documents of each length (at most counts) to take so that their tokens come as near to target as the
-    method gets: exact, unless the counts left over cannot make the last gap. Lengths of 0 are never taken."""
+    """How many documents of each length (at most counts) to take so that their tokens come as near to target as the method
+    gets; of two sums as near the smaller. Lengths of 0 are never taken.
+
+    A proportional part of every length is taken up to a gap of at least GAP tokens and GAP_DOCUMENTS of the longest
+    documents; bounded-knapsack dynamic programming over all that is left closes the gap, overshooting where that is nearer.
+    Exact where the target is not above that gap; above it, unless what is left over cannot make the gap.
+    """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     take = np.zeros(len(lengths), dtype=np.int64)
-    usable = lengths > 0
-    total = int((lengths * counts).sum())
+    usable = (lengths > 0) & (counts > 0)
+    total = sum(int(n) * int(c) for n, c in zip(lengths, counts, strict=True))  # python integers: no overflow
     if target <= 0 or not usable.any():
         return take
     if target >= total:
         return np.where(usable, counts, 0)
-    take[usable] = [int(c) * target // total for c in counts[usable]]  # python integers: no overflow
-    gap = target - int((take * lengths).sum())
+    longest = int(lengths[usable].max())
+    window = max(GAP, GAP_DOCUMENTS * longest)
+    share = max(0, target - window)
+    take[usable] = [int(c) * share // total for c in counts[usable]]
+    left = np.where(usable, counts - take, 0)
+    gap = target - sum(int(n) * int(c) for n, c in zip(lengths, take, strict=True))
     order = np.random.default_rng(seed).permutation(np.flatnonzero(usable))
-    left = counts - take
-    while gap > GAP:  # one more of each length that fits, in seeded order
-        before = gap
+    while gap > window:  # one more of each length, in seeded order; every document is shorter than the window
         for i in order:
-            if left[i] and lengths[i] <= gap:
+            if left[i] and gap > window:
                 take[i] += 1
                 left[i] -= 1
                 gap -= int(lengths[i])
-                if gap <= GAP:
-                    break
-        if gap == before:
-            return take  # only documents longer than the gap are left
-    slack = min(GAP, int(lengths[usable].min()))  # overshooting by less than this can be the nearest
-    mask = (1 << (gap + slack + 1)) - 1
-    reach, steps = 1, []
+    _close(take, left, lengths, order, gap, longest)
+    return take
+
+
+def _close(take: np.ndarray, left: np.ndarray, lengths: np.ndarray, order: np.ndarray, gap: int, longest: int) -> None:
+    """Adds to take the documents of left whose tokens come nearest to gap. Sums up to the gap and one longest document
+    are reached step by step, in units of the lengths' common divisor; each remembers the step that reached it first."""
+    unit = int(np.gcd.reduce(lengths[order]))
+    sizes, width = lengths // unit, (gap + longest) // unit + 1
+    wanted = gap / unit
+    reach, first = np.zeros(width, dtype=bool), np.full(width, -1, dtype=np.int32)
+    reach[0] = True
+    steps: list[tuple[int, int]] = []
+    exact = gap // unit if gap % unit == 0 else -1
     for i in order:
-        n = int(min(left[i], (gap + slack) // int(lengths[i])))
-        part = 1
-        while n > 0 and not reach >> gap & 1:
+        n, part = int(min(left[i], (width - 1) // sizes[i])), 1
+        while n > 0 and not (exact >= 0 and reach[exact]):
             part = min(part, n)
-            steps.append((int(i), part, reach))
-            reach |= (reach << (part * int(lengths[i]))) & mask
+            by = part * int(sizes[i])
+            fresh = np.flatnonzero(reach[: width - by] & ~reach[by:]) + by
+            first[fresh] = len(steps)
+            reach[fresh] = True
+            steps.append((int(i), part))
             n -= part
             part *= 2
-        if reach >> gap & 1:
-            break
-    below = (reach & ((1 << (gap + 1)) - 1)).bit_length() - 1
-    above_bits = reach >> gap
-    above = gap + ((above_bits & -above_bits).bit_length() - 1) if above_bits else None
-    at = above if above is not None and above - gap < gap - below else below
-    for i, part, reached_before in reversed(steps):
-        if not reached_before >> at & 1:
-            take[i] += part
-            at -= part * int(lengths[i])
-    return take
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - wanted))])
+    while at:
+        i, part = steps[first[at]]
+        take[i] += part
+        at -= part * int(sizes[i])
 
 
 def source_plan(counted: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
