@@ -72,12 +72,13 @@ def _stack_pass(max_n: int):
     return run
 
 
-def ngram_counts(records: DataFrame, key: str, terms: str, weight: str | None = None, max_n: int = 1) -> DataFrame:
+def ngram_counts(records: DataFrame, key: str, terms: str, weight: str | None = None, max_n: int = 1, about: int | None = None) -> DataFrame:
     """(terms array<string>, n int, f long, records long): every n-gram of up to ``max_n`` terms with its number of
     occurrences and of records.
 
     records: rows of (key, terms array<string>), each a sequence of the record ``key``; a record may have several. weight:
-    a column by which each occurrence counts (NULL as 0); 1 without it. NULL terms break a sequence. Rows with a NULL key
+    a column by which each occurrence counts (NULL as 0); 1 without it. about: the number of records, where it is known;
+    it sets how many chunks there are, never the result. NULL terms break a sequence. Rows with a NULL key
     or NULL or empty terms give nothing; repeated rows count again; other columns are ignored.
     """
     ship(records.sparkSession)
@@ -104,9 +105,10 @@ def ngram_counts(records: DataFrame, key: str, terms: str, weight: str | None =
     exploded = exploded.where(F.col("s")[0].isNotNull())
     exploded = exploded.select("rec", "f", (cut if max_n > 1 else F.col("s")).alias("suffix"))
 
-    # chunks from the number of records, estimated JVM-side with a sketch: a bound on size, no effect on the result
-    estimate = rows.agg(F.approx_count_distinct("rec").alias("n")).collect()[0]["n"] or 1
-    chunks = max(1, -(-estimate // CHUNK_RECORDS))
+    # chunks from the number of records, else estimated JVM-side with a sketch: a bound on size, no effect on the result
+    if about is None:
+        about = rows.agg(F.approx_count_distinct("rec").alias("n")).collect()[0]["n"]
+    chunks = max(1, -(-about // CHUNK_RECORDS))
     # the same suffix of the same record is one entry of its record set
     per_record = exploded.groupBy("suffix", "rec").agg(F.sum("f").alias("f"))
     combined = (
@@ -142,11 +144,8 @@ def word_table(doc_token: DataFrame, rare: int = 2, common: float = 0.4) -> Data
     """(word, f, records, mark): every word with its summed frequency, the records it occurs in, and ``rare`` (at most
     ``rare`` records), ``common`` (more than that share of all records) or ''. A record is a distinct non-null doc_id,
     whether or not it has words. Words are compared exactly; a word both rare and common is common."""
-    counts = ngram_counts(
-        distinct_pairs(doc_token).select("doc_id", F.array("word").alias("terms"), "f"), "doc_id", "terms", "f", 1
-    )
-    total = doc_token.agg(F.countDistinct("doc_id").alias("all_records"))
-    mark = F.when(F.col("records") > F.lit(common) * F.col("all_records"), "common").when(F.col("records") <= rare, "rare")
-    return counts.crossJoin(F.broadcast(total)).select(  # one row
-        F.col("terms")[0].alias("word"), "f", "records", F.coalesce(mark, F.lit("")).alias("mark")
-    )
+    every = doc_token.agg(F.count_distinct("doc_id").alias("n")).first()["n"]
+    pairs = distinct_pairs(doc_token).select("doc_id", F.array("word").alias("terms"), "f")
+    counts = ngram_counts(pairs, "doc_id", "terms", "f", 1, every)
+    mark = F.when(F.col("records") > F.lit(common * every), "common").when(F.col("records") <= rare, "rare")
+    return counts.select(F.col("terms")[0].alias("word"), "f", "records", F.coalesce(mark, F.lit("")).alias("mark"))
