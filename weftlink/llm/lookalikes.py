@@ -16,6 +16,7 @@ import math
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +42,27 @@ def script(ch: str) -> str:
 _SCRIPT = {c: script(c) for c in CLASS_OF}
 
 
+class _Seen(dict):
+    """What each character becomes in the visible text; filled as characters turn up."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        kind = unicodedata.category(ch)
+        if kind in ("Cf", "Cc") and ch not in "\t\n\r\v\f\x85" or "︀" <= ch <= "️" or ch in "͏ᅟᅠ឴឵ㅤ":
+            out = ""  # ignorable; variation selectors and fillers show nothing either
+        else:
+            out = " " if kind in ("Zs", "Zl", "Zp", "Cc") else ch
+        self[code] = out
+        return out
+
+
+_SEEN = _Seen()
+_FIRST = str.maketrans({c: group[0] for c, group in CLASS_OF.items()})
+
+
 def visible(text: str) -> str:
     """Decomposed compatibility form without ignorable characters, with single blanks for spaces and none at the ends."""
-    out = []
-    for ch in unicodedata.normalize("NFKD", text):
-        kind = unicodedata.category(ch)
-        if kind in ("Cf", "Cc") and ch not in "\t\n\r\v\f\x85":
-            continue
-        if "︀" <= ch <= "️" or ch in "͏ᅟᅠ឴឵ㅤ":
-            continue  # variation selectors and fillers show nothing
-        out.append(" " if kind in ("Zs", "Zl", "Zp", "Cc") else ch)
-    return " ".join("".join(out).split())
+    return " ".join(unicodedata.normalize("NFKD", text).translate(_SEEN).split())
 
 
 def pair_counts(df: DataFrame, text: str) -> dict[tuple[str, str], int]:
@@ -68,57 +79,91 @@ def pair_counts(df: DataFrame, text: str) -> dict[tuple[str, str], int]:
 
 
 class Searcher:
-    """Viterbi search over look-alike lattices; words seen before are remembered, up to a bound."""
+    """Viterbi search over look-alike lattices, for many words at once; words seen before are remembered, up to a bound."""
 
     def __init__(self, pairs: dict[tuple[str, str], int]) -> None:
-        self.pairs, self.memo = pairs, {}
-        self.floor = math.log(sum(pairs.values()) + len(CLASS_OF) ** 2)
-
-    def _step(self, a: str, b: str) -> float:
-        sa, sb = _SCRIPT.get(a) or script(a), _SCRIPT.get(b) or script(b)
-        score = -SCRIPT_CHANGE if sa and sb and sa != sb else 0.0
-        if a in CLASS_OF and b in CLASS_OF:
-            score += math.log(self.pairs.get((a, b), 0) + 1) - self.floor  # joint, so that unseen letters gain nothing
-        return score
-
-    def word(self, word: str) -> str:
-        """The best path of one word's lattice. Ties go to the class member that stands first (Latin)."""
-        key = "".join(CLASS_OF[c][0] if c in CLASS_OF else c for c in word)  # the lattice, by its first members
-        found = self.memo.get(key)
-        if found is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            found = self.memo[key] = self._search(key)
-        return found
-
-    def _search(self, word: str) -> str:
-        paths, last = {"": (0.0, "")}, []
-        for ch in word:
-            if unicodedata.combining(ch):  # an accent belongs to its letter and changes nothing in the lattice
-                last.append([{k: k for k in paths}, ch])
-                continue
-            reached, back = {}, {}
-            for order, to in enumerate(CLASS_OF.get(ch, ch)):
-                best = max(((s + (self._step(p, to) if p else 0.0), p) for p, (s, _) in paths.items()), key=lambda x: x[0])
-                reached[to] = (best[0] - order * 1e-9, "")
-                back[to] = best[1]
-            paths = reached
-            last.append([back, ""])
-        at = max(paths, key=lambda p: paths[p][0])
-        out = []
-        for back, accent in reversed(last):
-            if accent:
-                out.append(accent)
+        self.memo: dict[str, str] = {}
+        floor = math.log(sum(pairs.values()) + len(CLASS_OF) ** 2)
+        groups = CLASSES.split()
+        self.group = {g[0]: i for i, g in enumerate(groups)}
+        self.members = [*groups, "\0"]  # the last stands for characters without look-alikes
+        self.most = max(map(len, groups))
+        self.scripts: dict[str, int] = {"": 0}
+        n, m = len(self.members), self.most
+        self.valid = np.array([[k < len(g) for k in range(m)] for g in self.members])
+        self.script_of = np.array([[self._script(g[k]) if k < len(g) else 0 for k in range(m)] for g in self.members])
+        # joint scores of neighbouring letters, so that unseen letters gain nothing; 0 beside characters without look-alikes
+        self.joint = np.zeros((n, n, m, m))
+        for a, first in enumerate(groups):
+            for b, second in enumerate(groups):
+                for i, x in enumerate(first):
+                    for j, y in enumerate(second):
+                        self.joint[a, b, i, j] = math.log(pairs.get((x, y), 0) + 1) - floor
+
+    def _script(self, ch: str) -> int:
+        return self.scripts.setdefault(_SCRIPT.get(ch) or script(ch), len(self.scripts))
+
+    def forms(self, words: list[str]) -> list[str]:
+        """The best path of each word's lattice, which its first members name; ties go to the member that stands first."""
+        keys = [w.translate(_FIRST) for w in words]
+        if len(self.memo) > 200_000:
+            self.memo.clear()
+        by_size: dict[int, list[tuple[str, str]]] = {}
+        for key in dict.fromkeys(keys):
+            if key not in self.memo:
+                letters = key if key.isascii() else "".join(c for c in key if not unicodedata.combining(c))
+                by_size.setdefault(len(letters), []).append((key, letters))
+        for size, some in by_size.items():
+            step = max(1, 2_000_000 // max(1, size))
+            for i in range(0, len(some), step):
+                self._search(some[i : i + step], size)
+        return [self.memo[k] for k in keys]
+
+    def _search(self, some: list[tuple[str, str]], size: int) -> None:
+        """Words of one number of letters; an accent belongs to its letter and changes nothing in the lattice."""
+        if not size:
+            self.memo.update((key, key) for key, _ in some)
+            return
+        text = "".join(letters for _, letters in some)
+        plain = len(self.members) - 1
+        known = {c: (self.group.get(c, plain), self._script(c)) for c in set(text)}
+        group = np.array([known[c][0] for c in text]).reshape(-1, size)
+        own = np.array([known[c][1] for c in text]).reshape(-1, size)
+        best, back, before = None, [], None
+        order = np.arange(self.most) * 1e-9
+        for k in range(size):
+            g = group[:, k]
+            scripts = np.where((g == plain)[:, None], own[:, k : k + 1], self.script_of[g])
+            if best is None:
+                best = np.where(self.valid[g], -order, -np.inf)
             else:
-                out.append(at)
-                at = back[at]
-        return "".join(reversed(out))
+                change = (before[1][:, :, None] != scripts[:, None, :]) & (before[1][:, :, None] > 0) & (scripts[:, None, :] > 0)
+                reach = best[:, :, None] + self.joint[before[0], g] - SCRIPT_CHANGE * change
+                back.append(reach.argmax(1))
+                best = np.where(self.valid[g], reach.max(1) - order, -np.inf)
+            before = (g, scripts)
+        at, rows = best.argmax(1), np.arange(len(some))
+        path = np.empty((len(some), size), dtype=np.int64)
+        path[:, -1] = at
+        for k in range(size - 2, -1, -1):
+            at = back[k][rows, at]
+            path[:, k] = at
+        for (key, letters), groups, chosen in zip(some, group.tolist(), path.tolist(), strict=True):
+            best_letters = [c if g == plain else self.members[g][m] for c, g, m in zip(letters, groups, chosen, strict=True)]
+            if len(letters) < len(key):
+                found = iter(best_letters)
+                best_letters = [c if unicodedata.combining(c) else next(found) for c in key]
+            self.memo[key] = "".join(best_letters)
+
+    def texts(self, texts: list[str | None]) -> list[str | None]:
+        """The consistent forms of texts; NULL stays NULL, a text of nothing visible becomes empty."""
+        split = [None if t is None else visible(t).split(" ") for t in texts]
+        found = iter(self.forms([w for words in split if words for w in words]))
+        return [None if words is None else unicodedata.normalize("NFC", " ".join(next(found) for _ in words)) for words in split]
 
     def text(self, text: str | None) -> str | None:
-        """The consistent form of a text; NULL stays NULL, a text of nothing visible becomes empty."""
-        if text is None:
-            return None
-        return unicodedata.normalize("NFC", " ".join(self.word(w) for w in visible(text).split(" ")))
+        """The same for one text."""
+        return self.texts([text])[0]
 
 
 def _mapper(pairs: dict[tuple[str, str], int], names: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -126,7 +171,7 @@ def _mapper(pairs: dict[tuple[str, str], int], names: list[str]) -> Callable[[It
         search = Searcher(pairs)
         for batch in batches:
             batch.columns = names
-            batch["form"] = [search.text(t) for t in batch["text"]]
+            batch["form"] = search.texts(batch["text"].tolist())
             yield batch[["kind", "key", "form"]]
 
     return run
@@ -163,4 +208,4 @@ def same_looking_pairs(items: DataFrame) -> DataFrame:
 def skeleton(text: str) -> str:
     """The visible text with every look-alike letter replaced by the first of its class: equal for texts that look the
     same, and in Latin letters where there are any."""
-    return "".join(CLASS_OF[c][0] if c in CLASS_OF else c for c in visible(text))
+    return visible(text).translate(_FIRST)
