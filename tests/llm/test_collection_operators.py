@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from weftlink.llm import mixing
 from weftlink.llm import name_variants as N
-from weftlink.llm.vector_search import IndexParams, VectorIndex
+from weftlink.llm.vector_search import IndexParams, VectorIndex, k_means, nearest, restored, shortened, two_level
 
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
@@ -106,6 +106,8 @@ def test_pairs_match_brute_force(spark, vectors):
     for params in (IndexParams(), IndexParams(list_block=5, query_block=7, probes=6)):  # long lists are split
         index = VectorIndex(df, params)
         assert rows(index.similar_keys(0.95)) == brute_pairs(keys, vectors, 0.95)
+    one = VectorIndex(df, IndexParams(probes=1))  # exact without help from the probes
+    assert rows(one.similar_keys(0.8, exact=True)) == brute_pairs(keys, vectors, 0.8)
     assert index.members.count() == len(keys)
 
 
@@ -125,6 +127,23 @@ def test_neighbours_recall(spark, vectors):
     assert len(got) == 100 and hits / 500 >= 0.9
 
 
+def test_shortened_rows_are_within_their_bound():
+    x = np.random.default_rng(3).normal(size=(200, 64)).astype(np.float32)
+    x = np.concatenate([x, np.eye(64, dtype=np.float32), x[:5] * 1e-20])
+    got, left = restored(shortened(x), 64)
+    assert (np.linalg.norm(x - got, axis=1) <= left).all() and (left < 0.05 * np.linalg.norm(x, axis=1) + 1e-5).all()
+
+
+def test_two_level_centres():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(6000, 8)).astype(np.float32)
+    centres = two_level(x, 600, 4, 1)
+    assert abs(len(centres) - 600) < 60 and np.isfinite(centres).all()
+    flat = k_means(x, 600, 4, 1)
+    error = lambda c: float(((x - c[nearest(x, c)[:, 0]]) ** 2).sum())
+    assert error(centres) < 1.15 * error(flat)
+
+
 def test_empty_index(spark):
     index = VectorIndex(spark.createDataFrame([("a", None)], "key string, vec array<double>"))
     assert index.similar_keys(0.9).count() == 0

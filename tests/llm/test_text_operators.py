@@ -46,6 +46,39 @@ def test_clean_page_keeps_structure():
     assert [g[2] for g in got] == [True, False, True, True, False, True, True, True, True]
 
 
+def test_residues_over_lines():
+    clean = lambda *lines: [g[3] for g in markup.clean_page(list(lines))]
+    assert clean("Ada was a {{a|{{b|{{c|{{d|{{e|{{f}}}}}}}}}}}}poet.") == ["Ada was a poet."]
+    assert clean("{{Infobox person", "| name = Ada", "| spouse = {{marriage|W", "}}", "}}", "Ada was a poet.") == ["", "", "", "", "", "Ada was a poet."]
+    assert clean("one {{x", "y}} two {{z}} three") == ["one", "two three"]
+    assert clean("never {{closed|a", "| b", "text") == ["never a", "| b |", "text"]
+    assert clean("{{quote|", "A line of prose.", "|by=X", "}}", "end") == ["", "A line of prose.", "", "", "end"]
+    assert clean("open {{x", "prose", "with {{a}} own") == ["open", "prose", "with own"]
+    assert clean("}} stray", "text") == ["stray", "text"]
+    assert clean("so", "\\begin{equation}", "E = mc^2 \\\\", "\\end{equation}", "and \\emph{on}") == ["so", "$$", "E = mc^2 \\\\", "$$", "and on"]
+    assert clean("\\emph{" * 9 + "deep" + "}" * 9) == ["deep"]
+    assert clean("a <!-- b", "c", "d --> e") == ["a", "", "e"]
+    assert clean("{{" * 3000 + "x" + "}}" * 3000 + "y") == ["y"]
+
+
+def test_plain_lines_hold_no_construct():
+    rng = random.Random(12)
+    signs = list("<>&[]{}|*_`~$\\=#'-+:;!. 1a)") + ["''", "--", "a ", "\n"]
+    for _ in range(20_000):
+        line = "".join(rng.choice(signs) for _ in range(rng.randint(1, 7))).replace("\n", " ")
+        if markup.plain(line) and line.strip():
+            assert not any(p.search(line) for p in (*markup._LINE_STARTS, *markup._ANYWHERE)), line
+            assert markup._block(line) == ("text", " ".join(line.split(" ")).strip() if "  " not in line else markup._block(line)[1]), line
+
+
+def test_kept_text(spark):
+    long = "This paragraph is long enough to be running text on its own, without any doubt."
+    data = [(1, ["a", "", "", "", "'" * 3 + long + "'" * 3, None, "* item", "", "", "", "b"]), (2, ["x"]), (3, None), (1, None)]
+    df = spark.createDataFrame(data, "page_id long, lines array<string>").selectExpr("*", "'t' AS text", "1 AS kept")
+    assert rows(markup.kept_text(df)) == [(1, f"{long}\n- item")]
+    assert markup.kept_text(df.limit(0)).count() == 0
+
+
 def test_block_distribution():
     assert markup.block_distribution([0, 0, 90, 80, 0, 0, 0, 0]) == [True, True, True, True, False, False, False, False]
     assert markup.block_distribution([]) == []

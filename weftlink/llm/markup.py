@@ -1,7 +1,7 @@
 """Markup residue in page lines: find it, turn every line into clean text, and find the lines that carry the text.
 
-HTML, wiki, Markdown and LaTeX constructs are recognised line by line; the only state carried from line to line is an
-open code fence or comment. Clean lines keep their structure in one plain notation: ``#`` headings, ``-`` and ``1.``
+HTML, wiki, Markdown and LaTeX constructs are recognised line by line; what is carried from line to line are open code
+fences, code elements, comments, templates and formula environments. Clean lines keep their structure in one plain notation: ``#`` headings, ``-`` and ``1.``
 lists, ``>`` quotations, fenced code, ``|`` table rows, link texts and ``$…$`` formulas. The line-block distribution of
 the stripped text then says where the running text begins (surge) and ends (dive).
 
@@ -26,15 +26,18 @@ WINDOW, SURGE = 3, 60
 
 #: Element names of HTML and of wiki extensions; fixed values.
 ELEMENTS = (
-    "a abbr address article aside audio b base bdi bdo big blockquote body br button canvas caption center charinsert "
-    "cite code col colgroup data dd del details dfn dir div dl dt em embed fieldset figcaption figure font footer form "
-    "gallery h1 h2 h3 h4 h5 h6 head header hiero hr html i iframe img imagemap includeonly input ins kbd label legend li "
-    "link main map mark math meta nav nobr noinclude noscript nowiki object ol onlyinclude option p param picture poem "
-    "pre q ref references rp rt ruby s samp score script section select small source span strike strong style sub "
-    "summary sup syntaxhighlight table tbody td template templatestyles textarea tfoot th thead time timeline title tr "
-    "track tt u ul var video wbr"
-)
-_NAMES = "|".join(sorted(ELEMENTS.split(), key=len, reverse=True))
+    "a", "abbr", "address", "article", "aside", "audio", "b", "base", "bdi", "bdo", "big", "blockquote", "body", "br",
+    "button", "canvas", "caption", "center", "charinsert", "cite", "code", "col", "colgroup", "data", "dd", "del", "details",
+    "dfn", "dir", "div", "dl", "dt", "em", "embed", "fieldset", "figcaption", "figure", "font", "footer", "form", "gallery",
+    "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hiero", "hr", "html", "i", "iframe", "img", "imagemap",
+    "includeonly", "input", "ins", "kbd", "label", "legend", "li", "link", "main", "map", "mark", "math", "meta", "nav",
+    "nobr", "noinclude", "noscript", "nowiki", "object", "ol", "onlyinclude", "option", "p", "param", "picture", "poem",
+    "pre", "q", "ref", "references", "rp", "rt", "ruby", "s", "samp", "score", "script", "section", "select", "small",
+    "source", "span", "strike", "strong", "style", "sub", "summary", "sup", "syntaxhighlight", "table", "tbody", "td",
+    "template", "templatestyles", "textarea", "tfoot", "th", "thead", "time", "timeline", "title", "tr", "track", "tt", "u",
+    "ul", "var", "video", "wbr",
+)
+_NAMES = "|".join(sorted(ELEMENTS, key=len, reverse=True))
 _ATTRIBUTE = r"""\s+[\w:@.-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+)|(?=[\s/>]))"""
 TAG = re.compile(rf"</?(?:{_NAMES})(?:{_ATTRIBUTE})*\s*/?>", re.I)
 COMMENT = re.compile(r"<!--.*?(?:-->|$)")
@@ -73,25 +76,51 @@ _LINE_STARTS = (MD_DEFINITION, WIKI_HEADING, MD_HEADING, BULLET, NUMBER, INDENT,
 _ANYWHERE = (TAG, AUTOLINK, WIKI_LINK, WEB_LINK, MD_LINK, MD_REFERENCE, QUOTES, STRONG, EM, STRIKE, CODE, FORMULA, COMMAND, LINE_BREAK)
 
 
+#: Characters that constructs are made of, anywhere or where a line begins.
+_SIGNS = re.compile(r"[<>&\[\]{}|*_`~$\\=#\x00]|''|^\s*(?:[-+•:;!=_]|\d{1,3}[.)]\s)")
+#: Environments whose body is a formula; fixed values.
+MATH = re.compile(r"\\(begin|end)\{(?:equation|align|gather|multline|eqnarray|displaymath|math|flalign|alignat)\*?\}(?:\{[^{}]*\})?")
+
+
 def _has_reference(line: str) -> bool:
     return any(html.unescape(m.group()) != m.group() for m in REFERENCE.finditer(line))
 
 
+def plain(line: str) -> bool:
+    """Whether a line has none of the characters, at their place, that every construct needs."""
+    return _SIGNS.search(line) is None
+
+
 def has_construct(line: str) -> bool:
     """Whether a line outside code holds a construct of HTML, wiki, Markdown or LaTeX."""
-    if not line or line.isspace():
+    if not line or line.isspace() or plain(line):
         return False
     if "<!--" in line or "-->" in line or "{{" in line or "}}" in line:
         return True
     return any(p.search(line) for p in _LINE_STARTS) or any(p.search(line) for p in _ANYWHERE) or _has_reference(line)
 
 
+def _depth(line: str) -> tuple[int, int]:
+    """(closed, opened): template ends on a line that nothing before them on it opened, and begins left open at its end."""
+    closed = opened = 0
+    for m in re.finditer(r"\{\{|\}\}", line):
+        if m.group() == "{{":
+            opened += 1
+        elif opened:
+            opened -= 1
+        else:
+            closed += 1
+    return closed, opened
+
+
 class _Page:
-    """State between the lines of a page: inside a fence (its mark), a code element, or a comment."""
+    """State between the lines of a page: inside a fence (its mark), a code element, a comment, a template (how deep), a
+    formula. ends: template ends further on that nothing on their line opened, so that a template never closed takes in nothing."""
 
-    def __init__(self) -> None:
+    def __init__(self, ends: int = 0) -> None:
         self.fence = ""
-        self.element = self.comment = False
+        self.element = self.comment = self.math = False
+        self.depth, self.ends = 0, ends
 
     def step(self, line: str | None) -> tuple[str, bool, str | None]:
         """(kind, holds a construct, clean text) of the next line."""
@@ -122,10 +151,67 @@ class _Page:
         if opened and not opened.group(1) and not re.search(r"</" + opened.group(2), line, re.I):
             self.element = True
             return "fence", True, "```\n" + line[opened.end() :] if line[opened.end() :].strip() else "```"
+        if plain(line) and not self.depth and not self.math:
+            return ("text", False, re.sub(r"[ \t\u00a0]{2,}", " ", line).strip()) if line.strip() else ("blank", False, "")
         self.comment = line.rfind("<!--") > line.rfind("-->")
-        kind, text = _block(line)
+        if self.math or MATH.search(line):
+            return self._formula(line)
+        if self.depth or "{{" in line:
+            kind, text = self._template(line)
+        else:
+            kind, text = _block(line)
         return kind, has_construct(line), text
 
+    def _formula(self, line: str) -> tuple[str, bool, str]:
+        """A line that begins, ends or lies in a formula environment; the body stays as it is, between ``$$`` lines."""
+        out, at, found = [], 0, has_construct(line)
+        for m in MATH.finditer(line):
+            before = line[at : m.start()].strip()
+            out += [before if self.math else _inline(before).strip()] if before else []
+            if self.math == (m.group(1) == "end"):
+                out.append("$$")
+            self.math, at = m.group(1) == "begin", m.end()
+        rest = line[at:].strip()
+        if rest:
+            out.append(rest if self.math else _inline(rest).strip())
+        return "formula", found, "\n".join(out)
+
+    def _template(self, line: str) -> tuple[str, str]:
+        """A line with template marks, or inside a template. Parameters and what stands beside marks inside a template go; a
+        line of prose inside one, as in a quotation, stays."""
+        closed, opened = _depth(line)
+        self.ends -= closed
+        inside = self.depth
+        if inside and closed < inside:
+            self.depth = inside - closed + min(opened, max(0, self.ends - inside + closed))
+            if closed or opened or "{{" in line or line.lstrip().startswith(("|", "!")):
+                return "template", ""
+            return _block(line)
+        for _ in range(inside):  # what stands behind the end that closes the last one
+            line = line.partition("}}")[2]
+        self.depth = min(opened, max(0, self.ends))
+        if self.depth:  # up to the begin of the first that stays open
+            at: list[int] = []
+            for m in re.finditer(r"\{\{|\}\}", line):
+                if m.group() == "{{":
+                    at.append(m.start())
+                elif at:
+                    at.pop()
+            line = line[: at[len(at) - self.depth]]  # those before it are never closed: only their marks go
+        kind, text = _block(line)
+        return ("template", "") if kind == "blank" else (kind, text)
+
+
+_GROUP = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}")
+
+
+def _innermost(pattern: re.Pattern, by: str, text: str) -> str:
+    """Replaces innermost matches until none is left; each round shortens the text, so it ends at any depth."""
+    n = 1
+    while n:
+        text, n = pattern.subn(by, text)
+    return text
+
 
 def _inline(text: str) -> str:
     """A line without inline markup; texts of links, emphasis and code stay, formulas become ``$…$``."""
@@ -142,10 +228,10 @@ def _inline(text: str) -> str:
     text = CODE.sub(lambda m: hold(m.group(2).strip()), text)
     text = COMMENT.sub("", text)
     text = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", "", text, flags=re.I)
-    for _ in range(4):
-        text, n = TEMPLATE.subn("", text)
-        if not n:
-            break
+    text = re.sub(r"~?\\(?:cite|ref|label|pageref|eqref)\w*\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", text)
+    text = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", text)
+    text = _innermost(_GROUP, r"\1", text)
+    text = _innermost(TEMPLATE, "", text)
     text = re.sub(r"\{\{[^{}|]*\|?|\}\}", "", text)
     text = FILE_LINK.sub(lambda m: m.group(1).rpartition("|")[2], text)
     text = WIKI_LINK.sub(lambda m: m.group(2) if m.group(2) else m.group(1), text)
@@ -158,12 +244,6 @@ def _inline(text: str) -> str:
     text = STRONG.sub(lambda m: m.group(2) or m.group(4), text)
     text = EM.sub(lambda m: m.group(1) or m.group(2), text)
     text = STRIKE.sub(r"\1", text)
-    text = re.sub(r"~?\\(?:cite|ref|label|pageref|eqref)\w*\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", text)
-    text = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", text)
-    for _ in range(4):
-        text, n = re.subn(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text)
-        if not n:
-            break
     text = re.sub(r"\{\\[A-Za-z]+\s+([^{}]*)\}", r"\1", text)
     text = re.sub(r"(?<![\w:\\/.])\\ldots\b", "…", text)
     text = re.sub(r"(?<![\w:\\/.])\\([%&_#$])", r"\1", text)
@@ -231,12 +311,21 @@ def block_distribution(lengths: list[int], window: int = WINDOW, surge: int = SU
 
 def clean_page(lines: list[str | None]) -> list[tuple[int, str, bool, str | None, bool]]:
     """(line_no, kind, markup, text, kept) of every line of a page, null and empty ones included."""
-    page = _Page()
+    page = _Page(sum(_depth(x)[0] for x in lines if x and "}}" in x))
     steps = [page.step(x) for x in lines]
     kept = block_distribution([len(t or "") for _, _, t in steps])
     return [(i, kind, found, text, k) for i, ((kind, found, text), k) in enumerate(zip(steps, kept, strict=True))]
 
 
+def kept_text(pages: DataFrame, key: str = "page_id", lines: str = "lines") -> DataFrame:
+    """(key, text): the running text of each page by the line-block distribution, that is its clean lines between surge and
+    dive, joined by line ends. Pages without such a line give no row; otherwise as ``clean_lines``."""
+    kept = clean_lines(pages, key, lines).where("kept and text is not null and text <> ''")
+    line = F.sort_array(F.collect_list(F.struct("line_no", "text")))  # a page's own lines, which came as one row
+    joined = F.array_join(F.transform(line, lambda x: x["text"]), "\n")
+    return kept.groupBy(key).agg(joined.alias("text"))
+
+
 def clean_lines(pages: DataFrame, key: str = "page_id", lines: str = "lines") -> DataFrame:
     """(key, line_no int, kind, markup, text, kept): each line of each page once.
 

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlink.functions.hygiene import table
+from weftlink.functions.text import words
 from weftlink.llm.byte_bpe import encode_texts
 from weftlink.llm.distinctive import characteristic_pairs, term_scores
 from weftlink.llm.lookalikes import consistent_forms, same_looking_pairs
-from weftlink.llm.markup import clean_lines
+from weftlink.llm.markup import clean_lines, kept_text
 from weftlink.llm.mixing import count_tokens, mixture, share_report
 from weftlink.llm.name_variants import link_variants
 from weftlink.llm.spam_pages import page_shares, spam_pages
-from weftlink.llm.term_counts import word_table
+from weftlink.llm.term_counts import ngram_counts, word_table
 from weftlink.llm.vector_search import VectorIndex
 
 
@@ -51,6 +52,13 @@ def p2_word_counts(spark: SparkSession, data: str) -> DataFrame:
     return word_table(table(spark, data, "doc_token")).join(stored, "word", "left").select("word", "f", "records", "mark", "stored_f")
 
 
+def p2_ngrams(spark: SparkSession, data: str) -> DataFrame:
+    """Every n-gram of up to three white-space words of the documents, with its occurrences and its documents."""
+    docs = table(spark, data, "documents").select("doc_id", words(F.col("text")).alias("terms"))
+    counts = ngram_counts(docs, "doc_id", "terms", None, 3)
+    return counts.select(F.array_join("terms", " ").alias("ngram"), "n", "f", "records")
+
+
 def p3_found(spark: SparkSession, data: str) -> DataFrame:
     """Words that are characteristic of their page."""
     return characteristic_pairs(table(spark, data, "doc_token"))
@@ -73,6 +81,11 @@ def p4_clean_lines(spark: SparkSession, data: str) -> DataFrame:
     return clean_lines(table(spark, data, "wiki_page"))
 
 
+def p4_kept_text(spark: SparkSession, data: str) -> DataFrame:
+    """The running text of every page."""
+    return kept_text(table(spark, data, "wiki_page"))
+
+
 def _named(spark: SparkSession, data: str) -> DataFrame:
     """Names of entities and typed names, each once, as (kind, key, text)."""
     entity = table(spark, data, "entity").select(
@@ -111,9 +124,16 @@ def p7_found(spark: SparkSession, data: str) -> DataFrame:
 
 
 def p7_neighbours(spark: SparkSession, data: str) -> DataFrame:
-    """The ten most similar documents of every document whose id is divisible by 50, among all documents."""
-    rows = _vectors(spark, data)["doc"]
-    return VectorIndex(rows).neighbours(rows.where(F.col("key").cast("long") % 50 == 0), 10)
+    """The ten most similar vectors, in the same table, of every document whose id is divisible by 50 and of every word whose
+    hash is. Each asked key has its own rows; a neighbour stands for all its exact copies."""
+    out = []
+    for kind, rows in _vectors(spark, data).items():
+        number = F.col("key").cast("long") if kind == "doc" else F.crc32("key")
+        index, asked = VectorIndex(rows), rows.where(number % 50 == 0).select("key").distinct()
+        found = index.neighbours(asked, 10).withColumnRenamed("key", "class")
+        own = index.members.join(asked, "key", "left_semi")
+        out.append(own.join(found, "class").select(F.lit(kind).alias("kind"), "key", "neighbour", "rank", "cosine"))
+    return out[0].unionByName(out[1])
 
 
 def p8_ids(spark: SparkSession, data: str) -> DataFrame:
@@ -147,7 +167,7 @@ def p10_shares(spark: SparkSession, data: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_scores, p2_found, p2_word_counts, p3_found, p3_scores, p4_found, p4_clean_lines, p5_found, p5_forms, p7_found,
+        p1_found, p1_scores, p2_found, p2_word_counts, p2_ngrams, p3_found, p3_scores, p4_found, p4_clean_lines, p4_kept_text, p5_found, p5_forms, p7_found,
         p7_neighbours, p8_ids, p9_mixture, p9_shares, p10_found, p10_shares,
     )
 }
@@ -159,7 +179,12 @@ docs AS (SELECT doc_id, sum(f) AS doc_f FROM pairs GROUP BY doc_id),
 marked AS (SELECT word, f, records, CASE WHEN records > 0.4 * (SELECT count(DISTINCT doc_id) FROM doc_token) THEN 'common'
   WHEN records <= 2 THEN 'rare' ELSE '' END AS mark FROM words)"""
 
+_BLANKS = r"[\s\x{a0}\x{85}\x{2000}-\x{200a}\x{3000}\x{2028}\x{2029}\x{202f}\x{205f}\x{1680}]+"
+
 ORACLE = {
+    "p2_ngrams": f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '{_BLANKS}'), lambda x: x <> '') AS t FROM documents
+  WHERE doc_id IS NOT NULL AND text IS NOT NULL), g AS (SELECT doc_id, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS ngram
+  FROM w, (VALUES (1), (2), (3)) v(n)) SELECT ngram, CAST(n AS INTEGER) AS n, count(*) AS f, count(DISTINCT doc_id) AS records FROM g GROUP BY ngram, n""",
     "p2_found": f"WITH {_PAIRS} SELECT word, mark FROM marked WHERE mark <> ''",
     "p2_word_counts": f"""WITH {_PAIRS}, stored AS (SELECT word, CAST(sum(f) AS BIGINT) AS stored_f FROM word_freq
   WHERE word IS NOT NULL GROUP BY word) SELECT word, f, records, mark, stored_f FROM marked LEFT JOIN stored USING (word)""",
