@@ -124,6 +124,41 @@ def test_accuracy(spark):
     assert rows(accuracy(gold.limit(0), chosen)) == [(0, 0, 0, 0)]
 
 
+def test_projection_over_small_batches(spark):
+    rng = np.random.default_rng(7)
+    sizes = [1, 9, 2, 30, 1, 4]
+    cand = [(d, f"s{i % 3}", 100 * d + i, 1, 0.5) for d, n in enumerate(sizes) for i in range(n)]
+    vec = {e: rng.normal(size=6).tolist() for _, _, e, _, _ in cand}
+    ctx = {(d, s): rng.normal(size=6).tolist() for d, s, *_ in cand}
+    make = spark.createDataFrame
+    frames = (
+        make(cand, "doc_id long, sf string, entity_id long, n long, prior double"),
+        make([(d, s, v) for (d, s), v in ctx.items()], "doc_id long, sf string, vec array<double>"),
+        make(list(vec.items()), "doc_id long, vec array<double>"),
+    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {(d, s, e): x for d, s, e, _, _, x in rows(C.projected_similarity(*frames))}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(cand) and C.projected_similarity(frames[0].limit(0), *frames[1:]).count() == 0
+    for d in range(len(sizes)):
+        own = [(s, e) for x, s, e, _, _ in cand if x == d]
+        x = np.array([vec[e] for _, e in own] + [ctx[d, s] for s in dict.fromkeys(s for s, _ in own)])
+        v = np.linalg.svd(x, full_matrices=False)[2][0]
+        cut = lambda y: np.array(y) - np.dot(y, v) * v
+        for s, e in own:
+            a, b = cut(vec[e]), cut(ctx[d, s])
+            lengths = np.linalg.norm(a) * np.linalg.norm(b)
+            assert math.isclose(got[d, s, e], (1 + (a @ b / lengths if lengths > 1e-12 else 0)) / 2, abs_tol=1e-6)
+
+
+def test_contexts_of_wanted_mentions(spark):
+    parsed = M.mention_documents(spark.createDataFrame([(1, "a [[x]] b [[y]]"), (2, "c [[x]]")], "doc_id long, text string"))
+    wanted = spark.createDataFrame([(1, "y"), (1, "y"), (9, "x")], "doc_id long, sf string")
+    assert rows(M.context_words(parsed, None, wanted)) == [r for r in rows(M.context_words(parsed)) if r[:2] == (1, "y")]
+
+
 @pytest.fixture(scope="module")
 def kb(spark):
     """Two readings of 'jordan': a river country and a player; contexts and links tell them apart."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,15 +69,16 @@ def projected_similarity(candidates: DataFrame, contexts: DataFrame, embedding:
     """candidates with ctx_sim after the common component of each document is removed: the first right singular vector
     over its distinct candidate entities and its contexts is projected out of both sides before the cosine.
 
-    A document is one group: its candidates and contexts. Vectors travel as float64 arrays with the rows they belong to.
+    The rows of a document lie together in a sorted partition, and Python holds one Arrow batch and one document at a time.
+    Vectors travel as float64 arrays with the rows they belong to.
     """
     ship(candidates.sparkSession)
     entity = embedding.select(F.col("doc_id").alias("entity_id"), F.col("vec").alias("entity_vec"))
-    rows = candidates.join(contexts.select("doc_id", "sf", F.col("vec").alias("context_vec")), ["doc_id", "sf"])
-    rows = rows.join(entity, "entity_id")
+    rows = candidates.join(entity, "entity_id")
+    rows = rows.join(contexts.select("doc_id", "sf", F.col("vec").alias("context_vec")), ["doc_id", "sf"])
     doc = rows.schema["doc_id"].dataType.simpleString()
 
-    def project(group: pd.DataFrame) -> pd.DataFrame:
+    def project(group: pd.DataFrame) -> np.ndarray:
         e, c = np.stack(group["entity_vec"]), np.stack(group["context_vec"])
         once_e = e[~group["entity_id"].duplicated().to_numpy()]
         once_c = c[~group["sf"].duplicated().to_numpy()]
@@ -83,11 +86,34 @@ def projected_similarity(candidates: DataFrame, contexts: DataFrame, embedding:
         e, c = e - np.outer(e @ v, v), c - np.outer(c @ v, v)
         lengths = np.linalg.norm(e, axis=1) * np.linalg.norm(c, axis=1)
         cosine = np.divide((e * c).sum(1), lengths, out=np.zeros(len(e)), where=lengths > 1e-12)
-        return group[["doc_id", "sf", "entity_id", "n", "prior"]].assign(ctx_sim=(1 + cosine) / 2)
+        return (1 + cosine) / 2
+
+    def done(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows["doc_id"].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
+        sims = [project(rows.iloc[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return rows[["doc_id", "sf", "entity_id", "n", "prior"]].assign(ctx_sim=np.concatenate(sims))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []  # the last document so far, which the next batch may go on with
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["doc_id"].iloc[-1]
+            if rest and rest[0]["doc_id"].iloc[0] == batch["doc_id"].iloc[0] == last:
+                rest.append(batch)
+                continue
+            all_rows = pd.concat([*rest, batch], ignore_index=True)
+            whole = (all_rows["doc_id"] != last).to_numpy()
+            if whole.any():
+                yield done(all_rows[whole])
+            rest = [all_rows[~whole]]
+        if rest:
+            yield done(pd.concat(rest, ignore_index=True))
 
     columns = ["doc_id", "sf", "entity_id", "n", "prior", "context_vec", "entity_vec"]
     schema = f"doc_id {doc}, sf string, entity_id long, n long, prior double, ctx_sim double"
-    return rows.select(*columns).groupBy("doc_id").applyInPandas(project, schema)
+    return rows.select(*columns).repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, schema)
 
 
 def keep_top(scored: DataFrame, k: int) -> DataFrame:

@@ -68,10 +68,15 @@ def occurrences(parsed: DataFrame) -> DataFrame:
     return m.select("doc_id", "m.sf", "m.start", "m.end")
 
 
-def context_words(parsed: DataFrame, p: Params | None = None) -> DataFrame:
+def context_words(parsed: DataFrame, p: Params | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """(doc_id, sf, word): the distinct words within the window around any occurrence of the form, its own included. The
-    window is a slice of the document's token array, so no rows are joined by position."""
+    window is a slice of the document's token array, so no rows are joined by position. wanted: (doc_id, sf) of the mentions
+    to look at, all without it; documents with none of them lose their tokens before anything is exploded."""
     p = p or Params()
+    if wanted is not None:
+        asked = wanted.select("doc_id", "sf").groupBy("doc_id").agg(F.collect_set("sf").alias("forms"))  # the forms of one document
+        mine = F.filter("mentions", lambda x: F.array_contains("forms", x["sf"]))
+        parsed = parsed.join(asked, "doc_id").select("doc_id", "tokens", mine.alias("mentions"))
     m = parsed.select("doc_id", "tokens", F.explode("mentions").alias("m"))
     begin = F.greatest(F.col("m.start") - p.window, F.lit(0))
     end = F.least(F.col("m.end") + p.window, F.size("tokens"))
@@ -79,9 +84,9 @@ def context_words(parsed: DataFrame, p: Params | None = None) -> DataFrame:
     return around.select("doc_id", "sf", F.explode(F.array_distinct("around")).alias("word")).distinct()
 
 
-def context_vectors(parsed: DataFrame, kb: KnowledgeBase, p: Params | None = None) -> DataFrame:
-    """(doc_id, sf, vec): the embedding of each form's context, every distinct word weighing 1. Forms whose context has no
-    word with a vector give no row."""
+def context_vectors(parsed: DataFrame, kb: KnowledgeBase, p: Params | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, sf, vec): the embedding of each form's context, every distinct word weighing 1; of the wanted (doc_id, sf)
+    only, if given. Forms whose context has no word with a vector give no row."""
     p = p or Params()
-    words = context_words(parsed, p).withColumn("f", F.lit(1).cast("long"))
+    words = context_words(parsed, p, wanted).withColumn("f", F.lit(1).cast("long"))
     return embed(words, ["doc_id", "sf"], weighted_words(kb.word_vec, kb.word_freq, p), kb.dim)

@@ -25,8 +25,8 @@ def score_candidates(parsed: DataFrame, kb: KnowledgeBase, p: Params | None = No
     p = p or Params()
     mentions = occurrences(parsed).select("doc_id", "sf").distinct()
     kb = kb.for_forms(mentions)  # only what these forms need of the dictionary, the links and the embeddings
-    candidates = document_candidates(mentions, prior_table(kb, p))
-    contexts = context_vectors(parsed, kb, p)
+    candidates = cut(document_candidates(mentions, prior_table(kb, p)))
+    contexts = context_vectors(parsed, kb, p, candidates)
     scored = keep_top(projected_similarity(candidates, contexts, kb.doc_embedding), p.keep_top)
     nodes = initial_scores(scored, p)
     forms = nodes.groupBy("doc_id").agg(F.count_distinct("sf").alias("forms"))

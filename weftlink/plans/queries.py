@@ -215,7 +215,8 @@ def nil_mentions(spark: SparkSession, data: str) -> DataFrame:
 
 def _scored(spark: SparkSession, data: str) -> tuple[DataFrame, K.KnowledgeBase]:
     parsed, candidates, kb = _candidates(spark, data)
-    return C.context_similarity(candidates, M.context_vectors(parsed, kb, P), kb.doc_embedding), kb
+    candidates = cut(candidates)
+    return C.context_similarity(candidates, M.context_vectors(parsed, kb, P, candidates), kb.doc_embedding), kb
 
 
 def context_similarity(spark: SparkSession, data: str) -> DataFrame:
@@ -227,7 +228,8 @@ def context_similarity(spark: SparkSession, data: str) -> DataFrame:
 def common_component(spark: SparkSession, data: str) -> DataFrame:
     """Similarities after removal of the common component of each document."""
     parsed, candidates, kb = _candidates(spark, data)
-    scored = C.projected_similarity(candidates, M.context_vectors(parsed, kb, P), kb.doc_embedding)
+    candidates = cut(candidates)
+    scored = C.projected_similarity(candidates, M.context_vectors(parsed, kb, P, candidates), kb.doc_embedding)
     return scored.select("doc_id", "sf", "entity_id", F.round("ctx_sim", 4).alias("ctx_sim"))
 
 
