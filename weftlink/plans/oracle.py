@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 #: Rounds of the propagation with a fixed number, and most rounds to convergence.
-ROUNDS, MOST_ROUNDS = 8, 30
+ROUNDS, MOST_ROUNDS = 8, 90
 #: Rounds of the power method for the common component.
 POWER = 60
 #: Schemes of links to other sites; fixed values.
