@@ -268,6 +268,48 @@ def test_crowded_blocks_lose_nothing(spark, monkeypatch):
     assert got["j. bonbrugo"] in {find[f"{g.lower()} bonburgo"] for g in given if g[0] == "J"}
 
 
+def test_spellings_near_each_other_all_meet(spark):
+    """Every two spellings that the comparison takes for one word meet, wherever their errors are."""
+    from random import Random
+
+    rng = Random(7)
+    words, typed = [], []
+    for _ in range(400):
+        w = "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(4, 17)))
+        v = list(w)
+        for _ in range(rng.randint(0, 3)):
+            i, kind = rng.randrange(len(v)), rng.randrange(3)
+            v[i : i + 1] = [rng.choice("aeiou")] if kind == 0 else [] if kind == 1 and len(v) > 2 else [v[i], rng.choice("xyz")]
+        words.append(w)
+        typed.append("".join(v))
+    df = lambda x: spark.createDataFrame([(w, False) for w in sorted(set(x))], "part string, one boolean")
+    near = {(w, p) for w, p in rows(N.near_parts(df(typed), df(words)), "w", "p")}
+    want = {(w, p) for w in typed for p in words if N.alike(w, p)}
+    assert len(want) > 200 and not want - near
+
+
+def test_errors_in_both_halves_of_a_name(spark):
+    entities = spark.createDataFrame([(1, "Bursepenja Mutual Insurance Company"), (2, "Gorzitursi International Railway")], "entity_id long, name string")
+    typed = spark.createDataFrame([("burcepenji mutual insurance company",), ("goryiturmi international railway",)], "name string")
+    got = rows(N.link_variants(typed, entities, spark.createDataFrame([], "given_name string, alias string")), "name", "entity_id")
+    assert got == [("burcepenji mutual insurance company", 1), ("goryiturmi international railway", 2)]
+
+
+def test_pairs_grow_with_the_table(spark, monkeypatch):
+    from random import Random
+
+    rng, pairs, inner = Random(8), [], N.candidate_pairs
+    monkeypatch.setattr(N, "candidate_pairs", lambda *a: pairs.append(inner(*a)) or pairs[-1])
+    tails = sorted({"".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(320)})
+    for n in (75, 300):
+        names = [f"Adam Konbu{t}" for t in rng.sample(tails, n)]
+        entities = spark.createDataFrame(list(enumerate(names)), "entity_id long, name string")
+        typed = spark.createDataFrame([(x.lower(),) for x in names], "name string")
+        assert N.link_variants(typed, entities, spark.createDataFrame([], "given_name string, alias string")).count() == n
+    few, many = (x.count() for x in pairs)
+    assert many < 10 * few and many < 0.2 * 300 * 300
+
+
 def test_ratio_against_brute_force():
     from functools import lru_cache
 

@@ -5,12 +5,15 @@ words that describe it), or as both where nothing tells which; names that hold a
 brackets, are neither. A reading has a core that each of its variants keeps in some spelling. Words that very many entities
 have are no core beside rarer ones: word statistics of the whole table decide, not lists; the lists below are hints.
 
-Candidates come from suffix blocking. A core is indexed by its suffixes, read in both directions, so that an error at either
-end leaves a block intact: by the longer half of a long word, by the word less one letter for a short one, whole for one of
-up to three letters. A block that more than ``BLOCK`` entities share is refined with the other names (first or last letter);
-what is overly common even then is cut into sub-blocks by hash, which all its typed names meet. Pairs are compared by the
-longest-common-subsequence ratio of their tokens under the readings a typed name can have: short forms, initials, titles,
-other order, abbreviations and acronyms of organisations. The best entity of a name wins.
+Candidates come from blocks of distinct spellings. A spelling is indexed by what is left of it without up to two letters,
+which two spellings of a word share if neither lost more, and by its prefix and suffix of half its length, each without up
+to one letter, for what lost three letters and for long words: of three errors one half has at most one. So the blocks are
+as selective as the words are long and grow with the tables, not with their square. Pairs of spellings that are near enough
+lead to pairs of names, which are dropped unless some other word of the typed name is a form of some other word of the
+entity's; entities that share a core with more than ``BLOCK`` others are cut into sub-blocks by hash, which all typed names
+of the core meet. What is left is compared by the longest-common-subsequence ratio of the tokens under the readings a typed
+name can have: short forms, initials, titles, other order, abbreviations and acronyms of organisations. The best entity of
+a name wins.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from pyspark.sql import functions as F
 from weftlink.functions.hygiene import cut, ship
 from weftlink.llm.lookalikes import skeleton
 
-#: Suffix lengths of long words; longest word indexed less one letter; entities of a block before it is overly common.
+#: Longest word indexed whole, and less one letter; shortest word with halves; entities of a core before it is cut.
 MIN_SUFFIX, MAX_SUFFIX, SHORT_WORD, BLOCK = 3, 5, 6, 200
+#: Longest word indexed less two letters; longer ones have halves only.
+LONG_WORD = 12
 #: Least longest-common-subsequence ratio of two spellings of one token, and most edits between them.
 RATIO, EDITS = 0.78, 3
 #: A word of more than one in COMMON_SHARE entities, and of more than COMMON_LEAST, is common; so at most COMMON_SHARE times
@@ -212,30 +217,32 @@ def readings(tokens: list[str], kind: str, common: frozenset[str]) -> list[tuple
     return list(dict.fromkeys(rare or out))
 
 
-def entity_parts(reading: tuple[str, tuple]) -> list[tuple[str, list[str]]]:
-    """(core spelling, marks of the other names) of a reading; ``*`` marks a spelling that takes in all names."""
+def entity_parts(reading: tuple[str, tuple], tokens: list[str], short: dict[str, set[str]]) -> list[tuple[str, list[str], bool]]:
+    """(core spelling, forms of the other words, whether the spelling takes in all names) of a reading. A typed name with
+    the core must have a word that begins or is near one of the forms, or no other word where there are none."""
     kind, x = reading
     if kind == "organisation":
-        return [(x[0], sorted({m for t in x[1] for m in ("F" + t[0], "L" + t[-1])}) or ["*"])]
+        whole = [t for t in tokens if t != x[0]]
+        forms = {f for t in x[1] for f in (t, *ORGANISATION.get(t, "").split())} | {"".join(t[0] for t in w) for w in (x[1], whole) if x[1]}
+        return [(x[0], sorted(forms), False)]
     family = "".join(x[1])
-    return [(family, ["F" + x[0][0], "L" + x[0][-1]]), (x[0] + family, ["*"]), (family + x[0], ["*"])]
+    return [(family, sorted({x[0], *short.get(x[0], ())}), False), (x[0] + family, [], True), (family + x[0], [], True)]
 
 
-def typed_parts(tokens: list[str], full: dict[str, set[str]]) -> list[tuple[str, list[str]]]:
-    """(spelling, marks of the other names) of the tokens of a typed name and of neighbours joined. full: given names of a
-    short form, whose letters count as well."""
+def typed_parts(tokens: list[str]) -> list[tuple[str, list[str], bool]]:
+    """(spelling, other words, whether there are none but titles) of the tokens of a typed name and of neighbours joined.
+    Other words are joined with their neighbours as well."""
     words = [t for t in tokens if t not in EMPTY] or tokens
-    out: dict[str, set[str]] = {}
+    out: dict[tuple[str, bool], set[str]] = {}
     for n in range(1, min(4, len(words)) + 1):
         for i in range(len(words) - n + 1):
-            others = words[:i] + words[i + n :]
-            marks = out.setdefault("".join(words[i : i + n]), set())
-            for t in others:
-                for o in (t, *full.get(t, ())):
-                    marks.update(("F" + o[0], "L" + o[-1]))
-            if not others or len(others) == 1 and n > 1 or all(t in TITLES or t in LETTERS_AFTER for t in others):
-                marks.add("*")
-    return [(w, sorted(m)) for w, m in out.items()]
+            part, others = "".join(words[i : i + n]), words[:i] + words[i + n :]
+            bare = [t for t in others if t not in TITLES and t not in LETTERS_AFTER]
+            joined = {a + b for rest in (others, bare) for a, b in zip(rest, rest[1:])}
+            out.setdefault((part, False), set()).update(others, joined)
+            if n == 1 and not bare:
+                out[part, True] = set()
+    return [(w, sorted(o), one) for (w, one), o in out.items()]
 
 
 class Comparer:
@@ -243,10 +250,6 @@ class Comparer:
 
     def __init__(self, aliases: dict[str, set[str]]) -> None:
         self.short = aliases  # given name to its short forms
-        self.full: dict[str, set[str]] = {}
-        for name, forms in aliases.items():
-            for form in forms:
-                self.full.setdefault(form, set()).add(name)
         self.given = GIVEN | aliases.keys()
         self.names = self.given | {a for short in aliases.values() for a in short}
 
@@ -348,7 +351,7 @@ class Comparer:
         return best
 
 
-_PARTS = "array<struct<part: string, marks: array<string>>>"
+_PARTS = "array<struct<part: string, others: array<string>, one: boolean>>"
 
 
 def _tokenised(names: DataFrame, comparer: Comparer, entities: bool) -> DataFrame:
@@ -365,16 +368,16 @@ def _tokenised(names: DataFrame, comparer: Comparer, entities: bool) -> DataFram
 
 
 def _with_parts(names: DataFrame, work) -> DataFrame:
-    """(id, part, marks) of (id, tokens, kind) rows, a row for each part that work(tokens, kind) gives."""
+    """(id, part, others, one) of (id, tokens, kind) rows, a row for each part that work(tokens, kind) gives."""
     kind = names.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [[{"part": p, "marks": m} for p, m in work(list(t), k)] for t, k in zip(batch["tokens"], batch["kind"], strict=True)]
+            parts = [[{"part": p, "others": o, "one": x} for p, o, x in work(list(t), k)] for t, k in zip(batch["tokens"], batch["kind"], strict=True)]
             yield pd.DataFrame({"id": batch["id"].to_numpy(), "parts": parts})
 
     rows = names.mapInPandas(run, f"id {kind}, parts {_PARTS}")
-    return rows.select("id", F.explode("parts").alias("p")).select("id", "p.part", "p.marks").where("part <> ''").distinct()
+    return rows.select("id", F.explode("parts").alias("p")).select("id", "p.part", "p.others", "p.one").where("part <> ''").distinct()
 
 
 def common_words(names: DataFrame) -> frozenset[str]:
@@ -385,50 +388,102 @@ def common_words(names: DataFrame) -> frozenset[str]:
     return frozenset(r["w"] for r in counted.where((F.col("k") > COMMON_LEAST) & (F.col("k") * COMMON_SHARE > F.col("n"))).select("w").collect())
 
 
-def _suffix_keys(typed: bool) -> Column:
-    """The block keys of a part. Typed names look for the keys of all words that few edits lead to."""
-    part, size = F.col("part"), F.length("part")
-    whole = F.array(F.concat(F.lit("="), part))
-    less = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.lit("~"), F.substring(part, F.lit(1), i - 1), F.substring(part, i + 1, size)))
-    less = F.array_append(less, F.concat(F.lit("~"), part))
-    lengths = F.sequence(size - EDITS, size + EDITS) if typed else F.array(size)
-    affix = F.transform(
-        F.filter(lengths, lambda n: n > SHORT_WORD),
-        lambda n: F.least(F.lit(MAX_SUFFIX), F.greatest(F.lit(MIN_SUFFIX), F.floor((n - 1) / 2).cast("int"))),
+def _less(word: Column, size: Column) -> Column:
+    """A word without each one of its letters."""
+    return F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, size)))
+
+
+def _less_two(word: Column, size: Column) -> Column:
+    """A word without each two of its letters."""
+    begun = lambda i, j: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, j - i - 1), F.substring(word, j + 1, size))
+    return F.flatten(F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.transform(F.sequence(i + 1, size), lambda j: begun(i, j))))
+
+
+def _most(w: Column, p: Column) -> Column:
+    """The letters that two spellings of one word, of these lengths, can have for themselves."""
+    return F.floor(F.lit(1 - RATIO + 1e-9) * (w + p)).cast("int")
+
+
+def _keys(lengths_of: dict[bool, list[int]] | None = None) -> Column:
+    """(key, letters left out; -1 for halves) of a spelling. With lengths_of, the lengths of the entities' spellings, those
+    of a typed one: it looks for the halves of all lengths of words that can have lost, or got, a third letter, or are long."""
+    typed = lengths_of is not None
+    part, size, none = F.col("part"), F.length("part"), F.array().cast("array<struct<key: bigint, off: int>>")
+    keyed = lambda words, off, *tags: F.transform(words, lambda x: F.struct(F.xxhash64(F.col("one"), *tags, x).alias("key"), F.lit(off).alias("off")))
+    upto = LONG_WORD + 2 * int(typed)
+
+    def halves(n: Column) -> Column:
+        out = []
+        for end, mark, h in ((F.left, "<", F.floor(n / 2).cast("int")), (F.right, ">", F.ceil(n / 2).cast("int"))):
+            own = end(part, h)
+            words = F.concat(F.array(own), _less(own, F.length(own)))
+            if typed:  # a letter less or more in this half
+                more = end(part, h + 1)
+                words = F.concat(words, F.array(end(part, h - 1)), _less(more, F.length(more)))
+            out.append(keyed(F.array_distinct(words), -1, F.lit(mark), n))
+        return F.concat(*out)
+
+    if typed:
+        # the longer word of a pair that differs by so many letters, with a third one on one side, is that long
+        lost = lambda n: F.when(F.abs(n - size) == 3, F.greatest(n, size) >= 9).when(F.abs(n - size) == 2, F.greatest(n, size) >= 11).otherwise((n != size) & (F.greatest(n, size) >= 12))
+        there = F.when(F.col("one"), F.lit(lengths_of[True]).cast("array<int>")).otherwise(F.lit(lengths_of[False]).cast("array<int>"))
+        lengths = F.filter(there, lambda n: (F.abs(n - size) <= EDITS) & (n >= SHORT_WORD) & ((n > LONG_WORD) | lost(n)))
+    else:
+        lengths = F.array(size)
+    return F.concat(
+        F.when(size <= upto, keyed(F.array(part), 0, F.lit("~"))).otherwise(none),
+        F.when((size > MIN_SUFFIX) & (size <= upto), keyed(_less(part, size), 1, F.lit("~"))).otherwise(none),
+        F.when((size > MAX_SUFFIX) & (size <= upto), keyed(_less_two(part, size), 2, F.lit("~"))).otherwise(none),
+        F.when(size >= SHORT_WORD - EDITS * int(typed), F.flatten(F.transform(lengths, halves))).otherwise(none),
     )
-    ends = F.flatten(F.transform(F.array_distinct(affix), lambda h: F.array(
-        F.concat(F.lit("<"), F.left(part, h)), F.concat(F.lit(">"), F.right(part, h)),
-    )))
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(
-        F.when(size <= MIN_SUFFIX, whole).otherwise(none),
-        F.when((size > MIN_SUFFIX - int(typed)) & (size <= SHORT_WORD + int(typed)), less).otherwise(none),
-        F.when(size + (EDITS if typed else 0) > SHORT_WORD, ends).otherwise(none),
-    ))
 
 
 def _near(w: str, p: str) -> Column:
     """Whether two parts can be spellings of one word: the ratio bounds their distance, and a swap counts as two of it. This
     is the comparison's own first condition, only tested before Python sees the pair."""
-    most = F.least(F.lit(2 * EDITS), F.floor(F.lit(1 - RATIO + 1e-9) * (F.length(w) + F.length(p))).cast("int"))
-    return F.levenshtein(F.col(w), F.col(p)) <= most
+    return F.levenshtein(F.col(w), F.col(p)) <= F.least(F.lit(2 * EDITS), _most(F.length(w), F.length(p)))
+
+
+def _letters(part: Column) -> Column:
+    """The set of a word's letters, as bits of their code points modulo 64."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.ascii(F.substring(part, i, F.lit(1))) % 64).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(part)), F.lit(0).cast("bigint"), lambda bits, i: bits.bitwiseOR(bit(i)))
+
+
+def near_parts(typed: DataFrame, entities: DataFrame) -> DataFrame:
+    """(w, p, one) of the spellings of (part, one) rows on either side that can be spellings of one word; each once."""
+    tasks = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes become many keys
+    lengths = [{one: sorted(r["n"] for r in df.select("one", F.length("part").alias("n")).distinct().collect() if r["one"] == one) for one in (False, True)} for df in (typed, entities)]
+    reached = lambda by: F.length("part").isin(sorted({n + d for n in by for d in range(-EDITS, EDITS + 1)}))
+
+    def keyed(df: DataFrame, name: str, keys: Column, others: dict[bool, list[int]]) -> DataFrame:
+        some = df.where((F.col("one") & reached(others[True])) | (~F.col("one") & reached(others[False])))
+        rows = some.repartition(tasks, "part").withColumn("bits", _letters(F.col("part"))).withColumn("k", F.explode(keys))
+        return rows.select(F.col("part").alias(name), F.col("bits").alias(f"{name}_bits"), "one", F.col("k.key").alias("key"), F.col("k.off").alias(f"{name}_off"))
+
+    both = keyed(typed, "w", _keys(lengths[1]), lengths[1]).join(keyed(entities, "p", _keys(), lengths[0]), ["key", "one"])
+    size_w, size_p, most = F.length("w"), F.length("p"), _most(F.length("w"), F.length("p"))
+    own = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
+    swapped = (F.col("w_off") == 1) & (F.col("p_off") == 1) & (size_w == size_p)  # one letter for another
+    left = (F.col("w_off") + F.col("p_off") <= most) | swapped
+    half = (F.col("w_off") < 0) & (own("w_bits", "p_bits") + own("p_bits", "w_bits") <= most) & _near("w", "p")
+    return both.where(((F.col("w_off") >= 0) & left) | half).select("w", "p", "one").distinct()
 
 
 def candidate_pairs(typed: DataFrame, entities: DataFrame) -> DataFrame:
-    """(typed_id, entity_id) of (id, part, marks) rows on either side that share a block and have near parts."""
-    asked = typed.select(F.col("id").alias("typed_id"), F.col("part").alias("w"), "marks", F.explode(_suffix_keys(True)).alias("key"))
-    known = cut(entities.select(F.col("id").alias("entity_id"), F.col("part").alias("p"), "marks", F.explode(_suffix_keys(False)).alias("key")))
-    sizes = cut(known.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key"))
-    asked = cut(asked.join(known.select("key").distinct(), "key", "left_semi"))
-    near = lambda df: df.where(_near("w", "p")).select("typed_id", "entity_id")
-    plain = asked.join(sizes, "key", "left_anti").drop("marks").join(known.drop("marks"), "key")
-    # overly common blocks, refined with the other names
-    fine = lambda df: df.join(sizes, "key", "left_semi").withColumn("mark", F.explode("marks")).drop("marks")
-    theirs, ours = fine(known), fine(asked)
-    counted = theirs.groupBy("key", "mark").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("cuts"))
-    ours = ours.join(counted, ["key", "mark"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
-    theirs = theirs.join(counted, ["key", "mark"]).withColumn("sub", F.pmod(F.xxhash64("entity_id", "p"), F.col("cuts")).cast("int")).drop("cuts")
-    return near(plain).unionByName(near(ours.join(theirs, ["key", "mark", "sub"]))).distinct()
+    """(typed_id, entity_id) of (id, part, others, one) rows on either side that have near parts, and another word of the
+    typed name that can be one of the forms of the entity's other words."""
+    typed, entities = cut(typed), cut(entities)
+    counted = entities.groupBy("part", "one").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("cuts"))
+    near = cut(near_parts(typed.select("part", "one").distinct(), counted.select("part", "one")))
+    cuts = counted.where("cuts > 1").withColumnRenamed("part", "p")
+    ours = typed.select(F.col("id").alias("typed_id"), F.col("part").alias("w"), "others", "one").join(near, ["w", "one"])
+    ours = ours.join(cuts, ["p", "one"], "left").withColumn("sub", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1))).drop("cuts")
+    theirs = entities.select(F.col("id").alias("entity_id"), F.col("part").alias("p"), F.col("others").alias("forms"), "one")
+    theirs = theirs.join(cuts, ["p", "one"], "left").withColumn("sub", F.pmod(F.xxhash64("entity_id"), F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts")
+    close = lambda o, f: f.startswith(o) | (F.levenshtein(o, f) <= F.least(F.lit(2 * EDITS), F.greatest(F.lit(2), _most(F.length(o), F.length(f)))))
+    fits = F.when(F.size("forms") == 0, F.size("others") == 0).otherwise(F.exists("others", lambda o: F.exists("forms", lambda f: close(o, f))))
+    return ours.join(theirs, ["p", "one", "sub"]).where(fits).select("typed_id", "entity_id").distinct()
 
 
 def link_variants(typed: DataFrame, entities: DataFrame, aliases: DataFrame, least: float = 0.6) -> DataFrame:
@@ -455,8 +510,8 @@ def link_variants(typed: DataFrame, entities: DataFrame, aliases: DataFrame, lea
     theirs = every.where("kind <> ''")
 
     pairs = candidate_pairs(
-        _with_parts(ours, lambda t, _: typed_parts(t, comparer.full)),
-        _with_parts(theirs, lambda t, k: [x for r in readings(t, k, common) for x in entity_parts(r)]),
+        _with_parts(ours, lambda t, _: typed_parts(t)),
+        _with_parts(theirs, lambda t, k: [x for r in readings(t, k, common) for x in entity_parts(r, t, comparer.short)]),
     )
     pairs = pairs.join(theirs.select(F.col("id").alias("entity_id"), F.col("tokens").alias("e"), "kind"), "entity_id")
     pairs = pairs.join(ours.select(F.col("id").alias("typed_id"), F.col("tokens").alias("t")), "typed_id")
