@@ -310,6 +310,27 @@ def test_pairs_grow_with_the_table(spark, monkeypatch):
     assert many < 10 * few and many < 0.2 * 300 * 300
 
 
+HIDDEN = {
+    "Nokialto": ["nokailto", "nokia-lto"], "Ivan Hill": ["i. hill", "hill, ivan", "ivna hill"], "Park Jisungo": ["park jisnugo", "jisungo park"],
+    "Olga Petrelova (footballer)": ["olga petrelvoa", "o. petrelova", "petrelova, olga", "olga petrelova footballer"], "Applegate (company)": ["aplegate", "applegate co."],
+    "West Publishing Company": ["west publ. company", "west publishing co."], "New Gorvatta University": ["new gorvata university", "new gorvatta univ."],
+    "University of South Bermalina": ["univ. of south bermalina", "university of south bermlaina"], "State Bank of Tirvolgo": ["state bk. of tirvolgo", "state bank of tirvogo"],
+    "Red River Petrolanto": ["red river petrolatno"], "Western Digitalo": ["western digtalo"], "Robert Lumbaro (painter)": ["r. lumbaro", "robert lumbraro"],
+}
+
+
+def test_persons_and_organisations_beside_words_of_places(spark):
+    places = ["Battle of Gunzedo", "Lake Gunzedo", "Gunzedo County", "Gunzedo (film)", "Gunzedo railway station", "Gunzedo, Northern Province", "Upper Gunzedo Valley"]
+    names = [*HIDDEN, *places]
+    entities = spark.createDataFrame(list(enumerate(names)), "entity_id long, name string")
+    typed = {v: k for k, vs in HIDDEN.items() for v in vs}
+    others = ["gunzeod county", "lake gunzdo", "battle of gunzdeo", "gunzedo flim", "gunzedo", "p. hill", "applegate mural", "olga", "g. nokialto"]
+    df = spark.createDataFrame([(t,) for t in [*typed, *others]], "name string")
+    got = {n: names[e] for n, e in rows(N.link_variants(df, entities, spark.createDataFrame([], "given_name string, alias string")), "name", "entity_id")}
+    assert not {t: (k, got.get(t)) for t, k in typed.items() if got.get(t) != k}
+    assert not set(others) & set(got)
+
+
 def test_ratio_against_brute_force():
     from functools import lru_cache
 

@@ -1,8 +1,8 @@
 """Variant spellings of typed names, linked to the person or organisation they stand for.
 
 Every entity name is read as a person (a given and a family name, in either order), as an organisation (its own word beside
-words that describe it), or as both where nothing tells which; names that hold a word of places or works, or a qualifier in
-brackets, are neither. A reading has a core that each of its variants keeps in some spelling. Words that very many entities
+words that describe it), or as both where nothing tells which. Only names whose head, or qualifier in brackets, is a word of
+places or works are neither; other qualifiers may be typed or not. A reading has a core that each of its variants keeps in some spelling. Words that very many entities
 have are no core beside rarer ones: word statistics of the whole table decide, not lists; the lists below are hints.
 
 Candidates come from blocks of distinct spellings. A spelling is indexed by what is left of it without up to two letters,
@@ -106,6 +106,16 @@ PLACE_OR_WORK = frozenset(
         "town", "township", "treaty", "upper", "uss", "valley", "village", "volcano", "war", "west", "western", "new", "old",
     }
 )
+#: Those of them that are family names as well, those that come first then, and those that only say which of several. Fixed values.
+FAMILY_TOO = frozenset(
+    {
+        "bay", "beach", "book", "bridge", "castle", "church", "east", "forest", "fort", "hill", "lake", "north", "park", "song", "south",
+        "tower", "west",
+    }
+)
+FAMILY_FIRST = frozenset({"park", "song"})
+WHICH = frozenset({"east", "eastern", "lower", "new", "north", "northern", "old", "south", "southern", "state", "upper", "west", "western"})
+_QUALIFIER = re.compile(r"\(([^()]*)\)\s*$")
 ABBREVIATED = {a: w for w, short in ORGANISATION.items() for a in short.split()}
 
 
@@ -176,23 +186,47 @@ def alike(a: str, b: str) -> float:
     return ratio if ratio >= RATIO and edits(a, b) <= (EDITS if min(len(a), len(b)) >= 8 else 2) else 0.0
 
 
+def entity_tokens(name: str | None) -> list[str]:
+    """The tokens of an entity name; ``(`` stands before those of a qualifier in brackets."""
+    found = _QUALIFIER.search(name or "")
+    before, after = (tokens_of(name[: found.start()]), tokens_of(found[1])) if found else ([], [])
+    return [*before, "(", *after] if before and after else tokens_of(name)
+
+
 def kind_of(name: str, tokens: list[str], given: frozenset[str]) -> str:
-    """``person`` or ``organisation`` where a hint says so, empty for places, works and names of nothing but one word or
-    words that carry nothing, else ``either``."""
+    """``person`` or ``organisation`` where a hint says so, empty for places, works and names of nothing but words that
+    carry nothing, else ``either``."""
+    at = tokens.index("(") if "(" in tokens else len(tokens)
+    tokens, about = tokens[:at], tokens[at:]
     words = [t for t in tokens if t not in EMPTY]
-    if len(tokens) >= 2 and tokens[0] in given and len(words) >= 2:
+    if len(tokens) >= 2 and tokens[0] in given and len(words + about[1:]) >= 2:
         return "person"
-    if len(words) < 2 and not (len(tokens) >= 2 and "&" in name):
+    if not words or any(t in PLACE_OR_WORK for t in about):
         return ""
-    placed = any(t in PLACE_OR_WORK for t in tokens)
-    if any(t in ORGANISATION for t in tokens[1:]) and not (placed and (tokens[-1] in PLACE_OR_WORK or tokens[0] in PLACE_OR_WORK)):
+    placed = [t in PLACE_OR_WORK for t in words]
+    head = next((a for a, b in zip(tokens, tokens[1:]) if b in ("of", "for")), "")
+    if head in ORGANISATION or len(words) > 1 and words[-1] in ORGANISATION or any(t in ORGANISATION for t in about):
+        return "organisation"
+    if any(t in ORGANISATION for t in tokens[1:]) and not placed[-1] and (not placed[0] or words[0] in WHICH):
         return "organisation"
-    return "" if placed or re.search(r"\([^()]*\)\s*$", name) else "either"
+    if head in PLACE_OR_WORK:
+        return ""
+    if not placed[0] and not placed[-1]:
+        return "either"
+    if sum(placed) > 1 or len(words) < 2:
+        return ""
+    if words[-1] in FAMILY_TOO or words[0] in FAMILY_FIRST:
+        return "either"
+    return "organisation" if words[0] in WHICH else ""
 
 
 def readings(tokens: list[str], kind: str, common: frozenset[str]) -> list[tuple[str, tuple]]:
     """Ways to read an entity name: ("person", (given, family parts, initials)) or ("organisation", (own word, others)).
-    A common word is a core only where the name has no other."""
+    A common word is a core only where the name has no other. A qualifier may describe an organisation."""
+    if "(" in tokens:
+        at = tokens.index("(")
+        own = readings(tokens[:at], kind, common)
+        return own + [(k, (x[0], (*x[1], *tokens[at + 1 :]))) for k, x in own if k == "organisation"]
     words = [t for t in tokens if t not in EMPTY]
     out: list[tuple[str, tuple]] = []
     if kind in ("person", "either"):
@@ -222,7 +256,7 @@ def entity_parts(reading: tuple[str, tuple], tokens: list[str], short: dict[str,
     the core must have a word that begins or is near one of the forms, or no other word where there are none."""
     kind, x = reading
     if kind == "organisation":
-        whole = [t for t in tokens if t != x[0]]
+        whole = [t for t in tokens if t not in (x[0], "(")]
         forms = {f for t in x[1] for f in (t, *ORGANISATION.get(t, "").split())} | {"".join(t[0] for t in w) for w in (x[1], whole) if x[1]}
         return [(x[0], sorted(forms), False)]
     family = "".join(x[1])
@@ -314,9 +348,12 @@ class Comparer:
         best = 0.0
         for width in (1, 2):
             for i in range(len(words) - width + 1):
-                near = alike("".join(words[i : i + width]), own)
+                joined = "".join(words[i : i + width])
+                if width > 1 and not rest and min(map(len, words[i : i + width])) == 1 and joined != own:
+                    continue  # an initial is no part of a name of one word
+                near = alike(joined, own)
                 if near:
-                    best = max(best, near * self._rest(words[:i] + words[i + width :], rest, [t for t in entity if t != own]))
+                    best = max(best, near * self._rest(words[:i] + words[i + width :], rest, [t for t in entity if t not in (own, "(")]))
         return best
 
     def _rest(self, typed: list[str], rest: list[str], whole: list[str]) -> float:
@@ -360,7 +397,7 @@ def _tokenised(names: DataFrame, comparer: Comparer, entities: bool) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tokens = [tokens_of(x) for x in batch["name"]]
+            tokens = [(entity_tokens if entities else tokens_of)(x) for x in batch["name"]]
             kinds = [kind_of(n, t, comparer.given) for n, t in zip(batch["name"], tokens, strict=True)] if entities else ""
             yield pd.DataFrame({"id": batch["id"].to_numpy(), "tokens": tokens, "kind": kinds})
 
@@ -492,8 +529,8 @@ def link_variants(typed: DataFrame, entities: DataFrame, aliases: DataFrame, lea
 
     typed: (name string); entities: (entity_id, name); aliases: (given_name, alias), a table of fixed size. NULL and empty
     names match nothing; repeated rows count once; other columns are ignored; an empty table of names or entities gives no
-    rows, without aliases no short forms are known. Entities of one word, and those whose name has a word of places or works
-    or ends in brackets, are taken for neither persons nor organisations.
+    rows, without aliases no short forms are known. Entities whose name has a place or a work for its head, or in brackets at
+    its end, are taken for neither persons nor organisations.
     """
     spark = typed.sparkSession
     ship(spark)
