@@ -274,6 +274,14 @@ def test_fit_raises_the_likelihood(monkeypatch):
         assert np.allclose(table.sum(-1), 1)
 
 
+def test_the_model_is_fitted_on_every_page(spark):
+    texts = [prose(i % 7 + 1) for i in range(60)] + list(SPAM.values()) * 3 + ["\n".join(f"* see http://a.example/{i}" for i in range(700))]
+    pages = [spam_pages.Pieces([t]).symbols for t in texts]
+    assert max(map(len, pages)) == 700
+    want, got = spam_pages.fit(pages), spam_pages.fit_model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert np.allclose(want.emit, got.emit) and np.allclose(want.move, got.move) and np.allclose(want.start, got.start)
+
+
 def test_spam_query(spark):
     data = [(1, PROSE), (2, SPAM["tags"]), (2, SPAM["tags"]), (3, None), (4, ""), (5, " \n "), (6, prose(6000))]
     df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 AS k", "2 AS t", "3 AS prose")

@@ -4,9 +4,9 @@ A page is cut into pieces: its lines, long lines cut every ``PIECE_WORDS`` words
 looks like by itself, given how often its word pairs recur on the page); the hidden state says what it is: prose, link
 list, tag list, menu or keyword run. Viterbi decoding lets neighbours settle doubtful pieces (a short line between menu
 lines is menu, after prose it is a heading). A page is flagged when the pieces not labelled prose hold more than half of
-its characters. Whole texts are used; every page is decided by itself, so there is no shuffle.
+its characters. Whole texts are used; every page is decided by itself.
 
-The model is fitted by Baum-Welch on the symbols of at most ``FIT_PAGES`` pages drawn by hash, starting from and held by
+The model is fitted by Baum-Welch on the symbols of all pages, equal pages once with their number, starting from and held by
 the prior tables below, which also name the states. Everything else works on arrays of a whole batch of pages: characters,
 words, word pairs and pieces are never visited one by one.
 """
@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.functions.hygiene import ship
+from weftlink.functions.hygiene import cut, ship
 
 #: Words of a piece; characters of the pages that are worked on together.
 PIECE_WORDS, CHUNK_CHARS = 24, 200_000
-#: Most pages the model is fitted on, most pieces of such a page, rounds, and observations of a state the prior stands for.
-FIT_PAGES, FIT_PIECES, FIT_ROUNDS, PRIOR_WEIGHT = 2048, 512, 8, 400.0
+#: Rounds of the fit, observations of a state the prior stands for, and pieces that are fitted together.
+FIT_ROUNDS, PRIOR_WEIGHT, FIT_TOGETHER = 8, 400.0, 100_000
 #: A recurring pair occurs so often, and holds this share of the page's pairs (hot) or of the places of its words (bound).
 RECURS, HOT, BOUND = 4, 0.025, 0.15
 #: Share of recurring pairs that makes a complete sentence part of a keyword run, and words such a sentence has at least.
@@ -333,39 +333,48 @@ def decode(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray
     return states
 
 
-def fit(pages: list[np.ndarray], rounds: int = FIT_ROUNDS) -> Model:
-    """Baum-Welch from the prior model on the symbols of some pages; the prior counts as PRIOR_WEIGHT observations a state."""
-    pages = [p for p in pages if len(p)]
-    prior = prior_model()
-    if not pages:
-        return prior
-    start, move, emit = prior.start, prior.move, prior.emit
+def _expected(pages: list[np.ndarray], times: np.ndarray, model: Model) -> np.ndarray:
+    """The expected starts, moves and shown symbols, in one row, of pages that occur so many times; none is empty."""
+    start, move, emit = model.start, model.move, model.emit
     lengths = np.array([len(p) for p in pages])
     symbols = np.concatenate(pages).astype(np.int64)
     begin, order = _padded(symbols, lengths)
-    begin, sizes = begin[order], lengths[order]
-    n, longest = len(pages), int(sizes[0])
-    for _ in range(rounds):
-        ahead, scale = np.zeros((len(symbols), len(STATES))), np.ones(len(symbols))
-        for k in range(longest):
-            live = int(np.searchsorted(-sizes, -k, "left"))
-            at = begin[:live] + k
-            f = (start if k == 0 else ahead[at - 1] @ move) * emit[:, symbols[at]].T
-            scale[at] = f.sum(1)
-            ahead[at] = f / scale[at][:, None]
-        behind = np.ones((len(symbols), len(STATES)))
-        moved = np.zeros_like(move)
-        for k in range(longest - 1, 0, -1):
-            live = int(np.searchsorted(-sizes, -k, "left"))
-            at = begin[:live] + k
-            step = emit[:, symbols[at]].T * behind[at] / scale[at][:, None]
-            behind[at - 1] = step @ move.T
-            moved += move * (ahead[at - 1].T @ step)
-        held = ahead * behind
-        shown = np.stack([held[symbols == s].sum(0) for s in range(len(SYMBOLS))], axis=1)
-        smooth = lambda counts, table: (counts + PRIOR_WEIGHT * table) / (counts.sum(-1, keepdims=True) + PRIOR_WEIGHT)
-        start, move, emit = smooth(held[begin].sum(0), prior.start), smooth(moved, prior.move), smooth(shown, prior.emit)
-    return Model(start, move, emit)
+    begin, sizes, longest = begin[order], lengths[order], int(lengths.max())
+    weight = np.repeat(times, lengths).astype(float)[:, None]
+    ahead, scale = np.zeros((len(symbols), len(STATES))), np.ones(len(symbols))
+    for k in range(longest):
+        live = int(np.searchsorted(-sizes, -k, "left"))
+        at = begin[:live] + k
+        f = (start if k == 0 else ahead[at - 1] @ move) * emit[:, symbols[at]].T
+        scale[at] = f.sum(1)
+        ahead[at] = f / scale[at][:, None]
+    behind = np.ones((len(symbols), len(STATES)))
+    moved = np.zeros_like(move)
+    for k in range(longest - 1, 0, -1):
+        live = int(np.searchsorted(-sizes, -k, "left"))
+        at = begin[:live] + k
+        step = emit[:, symbols[at]].T * behind[at] / scale[at][:, None]
+        behind[at - 1] = step @ move.T
+        moved += move * ((ahead[at - 1] * weight[at]).T @ step)
+    held = ahead * behind * weight
+    shown = np.stack([held[symbols == s].sum(0) for s in range(len(SYMBOLS))], axis=1)
+    return np.concatenate([held[begin].sum(0), moved.ravel(), shown.ravel()])
+
+
+def _updated(sums: np.ndarray) -> Model:
+    """The model that expected counts lead to; the prior counts as PRIOR_WEIGHT observations a state."""
+    n, prior = len(STATES), prior_model()
+    start, moved, shown = sums[:n], sums[n : n + n * n].reshape(n, n), sums[n + n * n :].reshape(n, -1)
+    smooth = lambda counts, table: (counts + PRIOR_WEIGHT * table) / (counts.sum(-1, keepdims=True) + PRIOR_WEIGHT)
+    return Model(smooth(start, prior.start), smooth(moved, prior.move), smooth(shown, prior.emit))
+
+
+def fit(pages: list[np.ndarray], rounds: int = FIT_ROUNDS) -> Model:
+    """Baum-Welch from the prior model on the symbols of some pages."""
+    pages, model = [p for p in pages if len(p)], prior_model()
+    for _ in range(rounds if pages else 0):
+        model = _updated(_expected(pages, np.ones(len(pages)), model))
+    return model
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -400,23 +409,40 @@ def shares(text: str | None, model: Model | None = None) -> list[float]:
     return batch_shares([text], model)[0].tolist()
 
 
-def fit_model(docs: DataFrame, text: str = "text", most: int = FIT_PAGES) -> Model:
-    """The model fitted on at most ``most`` pages of a table, drawn by hash of their text; their symbols, at most FIT_PIECES
-    a page, are what reaches the driver. Pages with more pieces, and empty ones, are not drawn."""
+def fit_model(docs: DataFrame, text: str = "text") -> Model:
+    """The model fitted on all pages of a table, of any length. Each round is a pass over the symbols of the distinct pages,
+    of which a row of sums a task reaches the driver."""
     ship(docs.sparkSession)
-    share = min(1.0, 1.5 * most / max(1, docs.count()))
-    drawn = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, some in _chunks([t or "" for t in batch["t"]]):
                 p = Pieces(some)
-                pages, lengths = np.unique(p.page, return_counts=True)
-                parts = np.split(p.symbols.astype(np.uint8), np.cumsum(lengths)[:-1]) if len(pages) else []
-                yield pd.DataFrame({"s": [x.tobytes() for x in parts if len(x) <= FIT_PIECES]})
-
-    symbols = drawn.mapInPandas(run, "s binary").limit(most).collect()
-    return fit(sorted((np.frombuffer(r["s"], dtype=np.uint8) for r in symbols), key=lambda x: x.tobytes()))
+                _, lengths = np.unique(p.page, return_counts=True)
+                parts = np.split(p.symbols.astype(np.uint8), np.cumsum(lengths)[:-1]) if len(lengths) else []
+                yield pd.DataFrame({"s": [x.tobytes() for x in parts]})
+
+    symbols = docs.select(F.col(text).alias("t")).mapInPandas(look, "s binary")
+    distinct = cut(symbols.groupBy("s").agg(F.count("*").alias("n")))
+    model = prior_model()
+    for _ in range(FIT_ROUNDS):
+
+        def count(batches: Iterator[pd.DataFrame], model: Model = model) -> Iterator[pd.DataFrame]:
+            sums: np.ndarray | float = 0.0
+            for batch in batches:
+                pages = [np.frombuffer(x, dtype=np.uint8) for x in batch["s"]]
+                group = np.cumsum([len(x) for x in pages]) // FIT_TOGETHER
+                for g in np.unique(group):
+                    at = np.flatnonzero(group == g)
+                    sums = sums + _expected([pages[i] for i in at], batch["n"].to_numpy()[at], model)
+            if not np.isscalar(sums):
+                yield pd.DataFrame({"sums": [sums]})
+
+        found = distinct.mapInPandas(count, "sums array<double>").collect()
+        if not found:
+            return model
+        model = _updated(np.sum(sorted(r["sums"] for r in found), axis=0))
+    return model
 
 
 def page_shares(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
