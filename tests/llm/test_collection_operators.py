@@ -310,6 +310,19 @@ def test_pairs_grow_with_the_table(spark, monkeypatch):
     assert many < 10 * few and many < 0.2 * 300 * 300
 
 
+def test_exploded_tables_are_not_broadcast(spark):
+    """However small Spark takes them to be: a few spellings become very many keys."""
+    names = [f"Adam Konbu{a}{b}" for a in ("ta", "ri", "mo") for b in ("lek", "nus", "vid")]
+    parts = spark.createDataFrame([(n[5:].lower(), False) for n in names], "part string, one boolean")
+    near = N.near_parts(parts, parts)
+    entities, typed = spark.createDataFrame(list(enumerate(names)), "entity_id long, name string"), spark.createDataFrame([(n.lower(),) for n in names], "name string")
+    linked = N.link_variants(typed, entities, spark.createDataFrame([], "given_name string, alias string"))
+    for df, joins in ((near, 1), (linked, 4)):
+        assert len(df.collect()) >= len(names)
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert final.count("SortMergeJoin") == joins and "BroadcastHashJoin" not in final
+
+
 HIDDEN = {
     "Nokialto": ["nokailto", "nokia-lto"], "Ivan Hill": ["i. hill", "hill, ivan", "ivna hill"], "Park Jisungo": ["park jisnugo", "jisungo park"],
     "Olga Petrelova (footballer)": ["olga petrelvoa", "o. petrelova", "petrelova, olga", "olga petrelova footballer"], "Applegate (company)": ["aplegate", "applegate co."],

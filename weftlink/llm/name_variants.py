@@ -487,6 +487,12 @@ def _letters(part: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(part)), F.lit(0).cast("bigint"), lambda bits, i: bits.bitwiseOR(bit(i)))
 
 
+def _growing(df: DataFrame) -> DataFrame:
+    """The same rows, for a join that neither broadcasts them nor what they meet: Spark sizes exploded rows as those they
+    came from, before and while it runs, and tables cut from their lineage as the compressed files behind them."""
+    return df.hint("merge")
+
+
 def near_parts(typed: DataFrame, entities: DataFrame) -> DataFrame:
     """(w, p, one) of the spellings of (part, one) rows on either side that can be spellings of one word; each once."""
     tasks = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes become many keys
@@ -498,7 +504,7 @@ def near_parts(typed: DataFrame, entities: DataFrame) -> DataFrame:
         rows = some.repartition(tasks, "part").withColumn("bits", _letters(F.col("part"))).withColumn("k", F.explode(keys))
         return rows.select(F.col("part").alias(name), F.col("bits").alias(f"{name}_bits"), "one", F.col("k.key").alias("key"), F.col("k.off").alias(f"{name}_off"))
 
-    both = keyed(typed, "w", _keys(lengths[1]), lengths[1]).join(keyed(entities, "p", _keys(), lengths[0]), ["key", "one"])
+    both = keyed(typed, "w", _keys(lengths[1]), lengths[1]).join(_growing(keyed(entities, "p", _keys(), lengths[0])), ["key", "one"])
     size_w, size_p, most = F.length("w"), F.length("p"), _most(F.length("w"), F.length("p"))
     own = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
     swapped = (F.col("w_off") == 1) & (F.col("p_off") == 1) & (size_w == size_p)  # one letter for another
@@ -514,13 +520,13 @@ def candidate_pairs(typed: DataFrame, entities: DataFrame) -> DataFrame:
     counted = entities.groupBy("part", "one").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("cuts"))
     near = cut(near_parts(typed.select("part", "one").distinct(), counted.select("part", "one")))
     cuts = counted.where("cuts > 1").withColumnRenamed("part", "p")
-    ours = typed.select(F.col("id").alias("typed_id"), F.col("part").alias("w"), "others", "one").join(near, ["w", "one"])
+    ours = typed.select(F.col("id").alias("typed_id"), F.col("part").alias("w"), "others", "one").join(_growing(near), ["w", "one"])
     ours = ours.join(cuts, ["p", "one"], "left").withColumn("sub", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1))).drop("cuts")
     theirs = entities.select(F.col("id").alias("entity_id"), F.col("part").alias("p"), F.col("others").alias("forms"), "one")
     theirs = theirs.join(cuts, ["p", "one"], "left").withColumn("sub", F.pmod(F.xxhash64("entity_id"), F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts")
     close = lambda o, f: f.startswith(o) | (F.levenshtein(o, f) <= F.least(F.lit(2 * EDITS), F.greatest(F.lit(2), _most(F.length(o), F.length(f)))))
     fits = F.when(F.size("forms") == 0, F.size("others") == 0).otherwise(F.exists("others", lambda o: F.exists("forms", lambda f: close(o, f))))
-    return ours.join(theirs, ["p", "one", "sub"]).where(fits).select("typed_id", "entity_id").distinct()
+    return ours.join(_growing(theirs), ["p", "one", "sub"]).where(fits).select("typed_id", "entity_id").distinct()
 
 
 def link_variants(typed: DataFrame, entities: DataFrame, aliases: DataFrame, least: float = 0.6) -> DataFrame:
@@ -550,8 +556,8 @@ def link_variants(typed: DataFrame, entities: DataFrame, aliases: DataFrame, lea
         _with_parts(ours, lambda t, _: typed_parts(t)),
         _with_parts(theirs, lambda t, k: [x for r in readings(t, k, common) for x in entity_parts(r, t, comparer.short)]),
     )
-    pairs = pairs.join(theirs.select(F.col("id").alias("entity_id"), F.col("tokens").alias("e"), "kind"), "entity_id")
-    pairs = pairs.join(ours.select(F.col("id").alias("typed_id"), F.col("tokens").alias("t")), "typed_id")
+    pairs = pairs.join(_growing(theirs.select(F.col("id").alias("entity_id"), F.col("tokens").alias("e"), "kind")), "entity_id")
+    pairs = pairs.join(_growing(ours.select(F.col("id").alias("typed_id"), F.col("tokens").alias("t"))), "typed_id")
     id_kind = entities.schema["entity_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
