@@ -1,4 +1,5 @@
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from weftlink.operators import graph as G
 from weftlink.operators import mentions as M
 from weftlink.operators import ranking as R
 from weftlink.operators.kb import KnowledgeBase
+from weftlink.plans import queries as Q
 from weftlink.plans.pipeline import accuracy, choose, score_candidates
 
 
@@ -102,6 +104,35 @@ def test_propagation(spark):
     assert G.page_rank(nodes.limit(0), edges.limit(0)).count() == 0
 
 
+def test_linked_pairs(spark):
+    rng = np.random.default_rng(5)
+    nodes = sorted({(int(d), f"s{s}", int(e)) for d, s, e in zip(rng.integers(3, size=90), rng.integers(6, size=90), rng.integers(25, size=90))})
+    link = sorted({(int(t), int(f)) for t, f in zip(rng.integers(22, size=40), rng.integers(20, size=40))})  # some have no inlink
+    sources = {e: {f for t, f in link if t == e} for e in range(25)}
+    nodes, link = spark.createDataFrame(nodes, "doc_id long, sf string, entity_id long"), spark.createDataFrame(link, "to_id long, from_id long")
+    want = [r for r in rows(G.node_pairs(nodes)) if sources[r[2]] & sources[r[4]]]
+    assert want and rows(G.linked_pairs(nodes, link), "doc_id", "sf_a", "a", "sf_b", "b") == want
+    assert G.linked_pairs(nodes, link.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("query", ["dictionary_best"])
+def test_dictionary_makes_no_unlinked_pairs(spark, monkeypatch, query):
+    """Two by two the entities of one length of form have a common inlink: as many pairs as that, and the result of all pairs."""
+    n, made, inner = 60, [], G.topical_relatedness
+    scored = [(1, f"f{i:02}", e, 1, 0.5, 0.1 + (7 * e % 11) / 20) for i in range(n) for e in (i, i + 1)]
+    link = [(i, i // 2) for i in range(n + 1)] + [(i, 1000 + i) for i in range(0, n + 1, 3)]
+    scored = spark.createDataFrame(scored, "doc_id long, sf string, entity_id long, n long, prior double, ctx_sim double")
+    kb = SimpleNamespace(link=spark.createDataFrame(link, "to_id long, from_id long"), pages=spark.createDataFrame([(1000,)], "wp long"))
+    monkeypatch.setattr(Q, "_dictionary", lambda *_: (scored, kb))
+    monkeypatch.setattr(G, "topical_relatedness", lambda pairs, *a: made.append(pairs.count()) or inner(pairs, *a))
+    got = rows(Q.QUERIES[query](spark, ""))
+    nodes = R.initial_scores(C.keep_top(scored, Q.P.keep_top), Q.P)
+    pairs = G.node_pairs(nodes)
+    edges = G.propagation_edges(pairs, inner(pairs, kb.link, kb.pages))
+    monkeypatch.setattr(Q, "_dictionary_graph", lambda *_: (nodes, edges))
+    assert made[0] < 8 * n < pairs.count() / 10 and got and got == rows(Q.QUERIES[query](spark, ""))
+
+
 def test_scores_and_rerank(spark):
     df = spark.createDataFrame(
         [(1, "s", 1, 0.5, 0.2), (1, "s", 2, 0.5, 0.8), (1, "t", 3, 1.0, 0.0)],

@@ -21,6 +21,20 @@ def node_pairs(nodes: DataFrame) -> DataFrame:
     return a.join(b, "doc_id").where("sf_a < sf_b")
 
 
+def linked_pairs(nodes: DataFrame, link: DataFrame) -> DataFrame:
+    """node_pairs whose entities have a common inlink, the only ones with a relatedness, without making the others: entities
+    meet by (document, source). For few documents of very many candidates, as every document takes the inlinks of its own.
+    link: (to_id, from_id), distinct."""
+    own = nodes.select("doc_id", "entity_id").distinct()
+    met = own.join(link.withColumnRenamed("to_id", "entity_id"), "entity_id")
+    a = met.select("doc_id", "from_id", F.col("entity_id").alias("a"))
+    b = met.select("doc_id", "from_id", F.col("entity_id").alias("b"))
+    met = a.join(b, ["doc_id", "from_id"]).select("doc_id", "a", "b").distinct()
+    forms = nodes.select("doc_id", F.col("entity_id").alias("a"), F.col("sf").alias("sf_a"))
+    met = met.join(forms, ["doc_id", "a"]).join(forms.withColumnsRenamed({"a": "b", "sf_a": "sf_b"}), ["doc_id", "b"])
+    return met.where("sf_a < sf_b").select("doc_id", "sf_a", "a", "sf_b", "b")
+
+
 def topical_relatedness(pairs: DataFrame, link: DataFrame, pages: DataFrame) -> DataFrame:
     """(a, b, tr) for distinct entity pairs (a, b) with a common inlink; others have relatedness 0 and no row. pages: one
     row (wp), the number of pages.

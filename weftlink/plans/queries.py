@@ -308,8 +308,9 @@ def dictionary_topk(spark: SparkSession, data: str) -> DataFrame:
 def _dictionary_graph(spark: SparkSession, data: str) -> tuple[DataFrame, DataFrame]:
     scored, kb = _dictionary(spark, data)
     nodes = cut(R.initial_scores(C.keep_top(scored, P.keep_top), P))
-    pairs = cut(G.node_pairs(nodes))
-    return nodes, G.propagation_edges(pairs, G.topical_relatedness(pairs, kb.link, kb.pages))
+    link = cut(kb.link.join(nodes.select(F.col("entity_id").alias("to_id")).distinct(), "to_id", "left_semi"))
+    pairs = cut(G.linked_pairs(nodes, link))
+    return nodes, G.propagation_edges(pairs, G.topical_relatedness(pairs, link, kb.pages))
 
 
 def dictionary_propagation(spark: SparkSession, data: str) -> DataFrame:
