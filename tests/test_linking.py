@@ -115,7 +115,7 @@ def test_linked_pairs(spark):
     assert G.linked_pairs(nodes, link.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("query", ["dictionary_best", "dictionary_propagation", "dictionary_converged"])
+@pytest.mark.parametrize("query", ["dictionary_best", "dictionary_propagation", "dictionary_converged", "dictionary_rerank"])
 def test_dictionary_makes_no_unlinked_pairs(spark, monkeypatch, query):
     """Two by two the entities of one length of form have a common inlink: as many pairs as that, and the result of all pairs."""
     n, made, inner = 60, [], G.topical_relatedness
